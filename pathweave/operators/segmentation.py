@@ -19,6 +19,8 @@ FIXED_SEGMENT_POINTS = 100
 CELL_SIZE = 0.001
 # A grid segment with more points is stored as several rows (``part``).
 PART_POINTS = 100_000
+# One row holds one segment, so its size must stay far below a task's memory.
+MAX_SEGMENT_POINTS = 1_000_000
 
 
 def _entity(key: Sequence[str]) -> Column:
@@ -78,6 +80,8 @@ def fixed_members(
     to the next block (``pos`` -1 there).
     """
     size = int(max_segment_size)
+    if not 1 <= size <= MAX_SEGMENT_POINTS:
+        raise ValueError(f"segment size must lie in 1..{MAX_SEGMENT_POINTS}: {size}")
     block, offset = F.expr(f"seq div {size}"), F.expr(f"seq % {size}")
     homes = F.when(
         offset == size - 1,

@@ -72,13 +72,10 @@ class Layouts:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """The layout was written completely (or at least its folder holds data)."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop_path):
-        return False
-    names = [status.getPath().getName() for status in fs.listStatus(hadoop_path)]
-    return any(not n.startswith(("_writing", "_temporary", ".")) for n in names)
+    """The layout was written to its end: every writer leaves a marker last."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    fs = marker.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(marker)
 
 
 def build_layouts(
@@ -90,29 +87,34 @@ def build_layouts(
     cell_size: float = CELL_SIZE,
 ) -> Layouts:
     """Write what is missing below ``root``; each step reads the stored result of
-    the one before it, so a lost executor never repeats the whole chain."""
+    the one before it, so a lost executor never repeats the whole chain. What an
+    aborted run left unfinished is written anew."""
     out = Layouts(root)
     if not exists(spark, out.points):
-        write_points(points, out.points)
+        write_points(points, out.points, "overwrite")
     stored = spark.read.parquet(out.points)
     if not exists(spark, out.csv):
-        write_points_csv(stored, out.csv)
+        write_points_csv(stored, out.csv, "overwrite")
     if not exists(spark, out.fixed):
-        write_segments(fixed_segments(stored, max_segment_size, key), out.fixed)
+        fixed = fixed_segments(stored, max_segment_size, key)
+        write_segments(fixed, out.fixed, "overwrite")
     if not exists(spark, out.fixed_index):
         # the index keeps the clustering of the files it is computed from
         index = fixed_index(read_segments(spark, out.fixed))
-        write_segments(index, out.fixed_index, cluster=False)
+        write_segments(index, out.fixed_index, "overwrite", cluster=False)
     if not exists(spark, out.grid):
         grid = point_extent(stored)
-        write_segments(grid_segments(stored, grid, cell_size, key), out.grid)
+        cut = grid_segments(stored, grid, cell_size, key)
+        write_segments(cut, out.grid, "overwrite")
     if not exists(spark, out.grid_index):
         index = grid_index(read_segments(spark, out.grid), cell_size)
-        write_segments(index, out.grid_index, cluster=False)
+        write_segments(index, out.grid_index, "overwrite", cluster=False)
     if not exists(spark, out.geo):
-        write_geoparquet(stored, out.geo)
+        write_geoparquet(stored, out.geo, "overwrite")
     if not exists(spark, out.geo_small_groups):
-        write_geoparquet(stored, out.geo_small_groups, row_group_size=GEO_ROW_GROUP)
+        write_geoparquet(
+            stored, out.geo_small_groups, "overwrite", row_group_size=GEO_ROW_GROUP
+        )
     return out
 
 

@@ -179,6 +179,8 @@ class GeoPointsWriter(DataSourceArrowWriter):
         for path in old:
             fs.delete_file(path)
         self._drop_hidden(fs, hidden)
+        with fs.open_output_stream(posixpath.join(base, "_SUCCESS")):
+            pass
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, base = self._place()

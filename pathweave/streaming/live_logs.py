@@ -20,9 +20,8 @@ def stream_raw_logs(
     suits logs of ordinary size; box predicates and grid cells apply as in batch.
     """
     files = (
-        spark.readStream.option("wholetext", True)
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .text(f"{root.rstrip('/')}/{glob}")
+        spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger)
+        .text(f"{root.rstrip('/')}/{glob}", wholetext=True)
     )
     lines = files.select(
         F.col("_metadata.file_path").alias("path"),

@@ -1,5 +1,7 @@
 """Small fixtures and brute-force answers."""
 
+import contextlib
+import io
 import math
 from datetime import datetime, timedelta
 
@@ -63,3 +65,11 @@ def cut(track, breaks):
     the point before it in front."""
     edges = [0, *breaks, len(track)]
     return [track[max(a - 1, 0) if a else 0 : b] for a, b in zip(edges, edges[1:])]
+
+
+def plan_text(df):
+    """The formatted physical plan."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()

@@ -1,4 +1,12 @@
-"""Many query points at once: exact k nearest positions for a table of them."""
+"""Many query points at once: exact k nearest positions for a table of them.
+
+A pyramid of cells tells, per level, roughly how many distinct positions a cell
+holds. Each query walks down the pyramid: among the cells still in play, the
+nearest ones that surely hold k positions bound its k-th distance by their far
+edge, and every cell whose near edge lies beyond that bound drops out. On the
+last level (a few metres) the surviving cells are joined to the points. No
+query ever meets points far outside its answer, however crowded the area is.
+"""
 
 from __future__ import annotations
 
@@ -7,157 +15,179 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathweave.functions.distance import (
-    EARTH_RADIUS_M,
-    haversine,
-    search_box,
-    to_micro,
-)
+from pathweave.functions.distance import EARTH_RADIUS_M, haversine, to_micro
 from pathweave.functions.pyramid import (
     BASE_DEGREES,
+    LEVEL_STEP,
     LEVELS,
     base_cell,
     on_globe,
-    shifted,
 )
-from pathweave.operators.bbox_batch import BOX_COLUMNS, match_boxes
+from pathweave.session import shared_folder
 
 _WORD = 64
-
-
-def _levels() -> Column:
-    return F.explode(F.array(*[F.lit(level) for level in LEVELS])).alias("_level")
+# metres of slack for rounding in cell edges and distances
+_SLACK = 1e-3
 
 
 def _located(df: DataFrame) -> DataFrame:
     lat, lon = on_globe(F.col("lat"), F.col("lon"))
     return df.withColumns({"_glat": lat, "_glon": lon}).withColumns(
-        {"_bi": base_cell(F.col("_glat")), "_bj": base_cell(F.col("_glon"))}
+        {
+            "_ci": F.shiftright(base_cell(F.col("_glat")), LEVELS[0]),
+            "_cj": F.shiftright(base_cell(F.col("_glon")), LEVELS[0]),
+        }
     )
 
 
-def _seen_words(k: int) -> list[Column]:
-    """Bitmap aggregates whose set bits never exceed the distinct positions.
+def build_pyramid(points: DataFrame, k: int, path: str | None = None) -> DataFrame:
+    """Table ``ci, cj, words`` partitioned by ``level``, good for any k up to this.
 
-    Each position hashes to one of at least 2k bits; a fixed-width state that
-    combines on the map side, unlike an exact distinct count.
+    ``words`` is a bitmap in which every position sets one of at least 2k bits by
+    its hash. Its set bits never exceed the number of distinct positions, its
+    width is fixed, and it combines on the map side and from level to level,
+    which an exact distinct count does not. Points are read once, for the finest
+    level; the other levels come from that table. Written to ``path`` or below
+    the shared folder.
     """
-    words = math.ceil(2 * k / _WORD)
+    spark = points.sparkSession
+    path = path or shared_folder(spark, "pyramid")
+    n_words = math.ceil(2 * max(k, 1) / _WORD)
+    names = [f"_w{n}" for n in range(n_words)]
     bucket = F.pmod(
-        F.xxhash64(F.col("lat") + 0.0, F.col("lon") + 0.0), F.lit(words * _WORD)
-    ).cast("int")
-    bit = F.expr(f"shiftleft(1L, _bucket % {_WORD})")
-    return [bucket.alias("_bucket")] + [
-        F.bit_or(
-            F.when(F.expr(f"_bucket div {_WORD}") == word, bit).otherwise(
-                F.lit(0).cast("long")
-            )
-        ).alias(f"_w{word}")
-        for word in range(words)
-    ]
-
-
-def kth_distance_bounds(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``queries`` plus ``_bound``: metres that surely hold k distinct positions.
-
-    Around every query, the 3x3 cells of each level are looked up in a count of
-    the points; a level whose cells hold k positions bounds the k-th distance by
-    the far corner of those cells. The best level wins; infinity if none does,
-    which means the table has about k positions or fewer. Only cells some query
-    asks for are counted.
-    """
-    steps = F.sequence(F.lit(-1), F.lit(1))
-    asked = (
-        _located(queries.select("query_id", "lat", "lon"))
-        .select("query_id", "_glat", "_glon", "_bi", "_bj", _levels())
-        .select("*", F.explode(steps).alias("_di"))
-        .select("*", F.explode(steps).alias("_dj"))
-        .withColumns(
-            {
-                "_ci": shifted("_bi", "_level") + F.col("_di"),
-                "_cj": shifted("_bj", "_level") + F.col("_dj"),
-            }
-        )
+        F.xxhash64(F.col("lat") + 0.0, F.col("lon") + 0.0), F.lit(n_words * _WORD)
     )
-    cell = ["_level", "_ci", "_cj"]
-    wanted = asked.select(*cell).distinct()
-    bucket, *words = _seen_words(k)
-    counted = (
+    none = F.lit(0).cast("long")
+    bit = F.expr(f"shiftleft(1L, CAST(_bucket % {_WORD} AS INT))")
+    finest = (
         _located(points.select("lat", "lon"))
-        .select("_bi", "_bj", bucket, _levels())
-        .select(
-            "_level",
-            shifted("_bi", "_level").alias("_ci"),
-            shifted("_bj", "_level").alias("_cj"),
-            "_bucket",
+        .where(F.col("_ci").isNotNull() & F.col("_cj").isNotNull())
+        .withColumn("_bucket", bucket)
+        .groupBy(F.col("_ci").alias("ci"), F.col("_cj").alias("cj"))
+        .agg(
+            *[
+                F.bit_or(
+                    F.when(F.expr(f"_bucket div {_WORD}") == n, bit).otherwise(none)
+                ).alias(name)
+                for n, name in enumerate(names)
+            ]
         )
-        .join(wanted, cell, "left_semi")
-        .groupBy(*cell)
-        .agg(*words)
     )
-    n_seen = sum(
-        (F.bit_count(f"_w{word}") for word in range(len(words))), F.lit(0)
+    finest.write.mode("overwrite").parquet(f"{path}/level={LEVELS[0]}")
+    stored = spark.read.parquet(f"{path}/level={LEVELS[0]}")
+    coarser = F.explode(F.array(*[F.lit(level) for level in LEVELS[1:]]))
+    (
+        stored.select("*", coarser.alias("level"))
+        .groupBy(
+            "level",
+            F.expr(f"shiftright(ci, level - {LEVELS[0]})").alias("ci"),
+            F.expr(f"shiftright(cj, level - {LEVELS[0]})").alias("cj"),
+        )
+        .agg(*[F.bit_or(name).alias(name) for name in names])
+        .write.mode("append")
+        .partitionBy("level")
+        .parquet(path)
     )
-    size = F.lit(BASE_DEGREES) * F.pow(F.lit(2.0), F.col("_level"))
-
-    def reach(axis: str, at: str) -> Column:
-        low, high = F.col(axis) * size, (F.col(axis) + 1) * size
-        return F.greatest(F.abs(F.col(at) - low), F.abs(F.col(at) - high))
-
-    # a path along a straight line in degrees is never shorter than the arc
-    dlat, dlon = reach("_ci", "_glat"), reach("_cj", "_glon")
-    far = F.radians(F.sqrt(dlat * dlat + dlon * dlon)) * EARTH_RADIUS_M + 1e-3
-    nearest_first = (
-        Window.partitionBy("query_id", "_level")
-        .orderBy("_far")
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return spark.read.parquet(path)
+
+
+def _cell_radius(level: int) -> float:
+    """Metres no position of a cell is farther from the cell's centre: a straight
+    line in degrees is never shorter than the arc."""
+    half_diagonal = math.radians(BASE_DEGREES * 2**level * math.sqrt(2) / 2)
+    return EARTH_RADIUS_M * half_diagonal + _SLACK
+
+
+def _globe_cells(level: int) -> list[tuple[int, int]]:
+    size = BASE_DEGREES * 2**level
+    rows = range(math.floor(-90 / size), math.floor(90 / size) + 1)
+    columns = range(math.floor(-180 / size), math.floor(180 / size) + 1)
+    return [(i, j) for i in rows for j in columns]
+
+
+def candidate_cells(pyramid: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``query_id, q_lat, q_lon, _bound, ci, cj``: the finest cells that can hold
+    one of the k nearest positions, with the bound of the k-th distance.
+
+    The cells of a query lie along the rim of its answer; their number follows
+    the shape of the data there, not its density.
+    """
+    n_seen = sum(
+        (F.bit_count(name) for name in pyramid.columns if name.startswith("_w")),
+        F.lit(0),
     )
-    bounds = (
-        asked.join(counted, cell)
-        .select("query_id", "_level", far.alias("_far"), n_seen.alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(nearest_first))
-        .where(F.col("_upto") >= k)
-        .groupBy("query_id")
-        .agg(F.min("_far").alias("_bound"))
+    sized = pyramid.select("level", "ci", "cj", n_seen.alias("_n"))
+    own = ["query_id", "q_lat", "q_lon", "_glat", "_glon"]
+    per_query = Window.partitionBy("query_id")
+    nearest_first = per_query.orderBy("_metres").rangeBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    return queries.join(bounds, "query_id", "left").withColumn(
-        "_bound", F.coalesce("_bound", F.lit(float("inf")))
+    cells = (
+        _located(queries.select("query_id", "lat", "lon"))
+        .where(F.col("_ci").isNotNull() & F.col("_cj").isNotNull())
+        .withColumnsRenamed({"lat": "q_lat", "lon": "q_lon"})
+        .select(*own, F.lit(float("inf")).alias("_bound"))
     )
+    for level in reversed(LEVELS):
+        radius = F.lit(_cell_radius(level))
+        size = F.lit(BASE_DEGREES * 2**level)
+        if level == LEVELS[-1]:
+            # every cell of the globe, a fixed few
+            offsets, ci, cj = _globe_cells(level), F.col("_di"), F.col("_dj")
+        else:
+            side = range(2**LEVEL_STEP)
+            offsets = [(di, dj) for di in side for dj in side]
+            ci = F.col("ci") * 2**LEVEL_STEP + F.col("_di")
+            cj = F.col("cj") * 2**LEVEL_STEP + F.col("_dj")
+        steps = F.expr(
+            "inline(array("
+            + ", ".join(f"struct({di}L AS _di, {dj}L AS _dj)" for di, dj in offsets)
+            + "))"
+        )
+        metres = haversine(
+            F.col("_glat"), F.col("_glon"), (ci + 0.5) * size, (cj + 0.5) * size
+        )
+        # by the triangle inequality a position is within radius of the centre's
+        # distance; children beyond the parents' bound need no look-up
+        asked = (
+            cells.select("*", steps)
+            .select(
+                *own, "_bound", ci.alias("ci"), cj.alias("cj"), metres.alias("_metres")
+            )
+            .where(F.col("_metres") - radius <= F.col("_bound"))
+        )
+        filled = asked.join(sized.where(F.col("level") == level), ["ci", "cj"])
+        enough = F.when(F.sum("_n").over(nearest_first) >= k, F.col("_metres"))
+        bound = F.least("_bound", F.min("_enough").over(per_query) + radius)
+        cells = (
+            filled.select(*own, "_bound", "ci", "cj", "_metres", enough.alias("_enough"))
+            .select(*own, bound.alias("_bound"), "ci", "cj", "_metres")
+            .where(F.col("_metres") - radius <= F.col("_bound"))
+            .drop("_metres")
+        )
+    return cells
 
 
-def knn_batch(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact k-NN per row ``query_id, lat, lon`` of ``queries``:
+def knn_batch(
+    points: DataFrame, queries: DataFrame, k: int, pyramid: DataFrame | None = None
+) -> DataFrame:
+    """Exact k-NN per row ``query_id`` (unique), ``lat, lon`` of ``queries``:
     ``query_id, rank, traj_id, lat, lon, distance``.
 
-    First an upper bound of each query's k-th distance, then a box join of the
-    points within those bounds, then the k best per query. Repeated positions
-    fold before the shuffle and the rank limit is applied on the map side first,
-    so neither a crowded position nor a crowded query gathers in one task.
+    Repeated positions fold before the shuffle and the rank limit applies on the
+    map side first, so neither a crowded position nor a crowded query gathers in
+    one task. A stored ``pyramid`` of the same points saves building one.
     """
-    bounded = kth_distance_bounds(points, queries, max(k, 1))
-    q_lat, q_lon = on_globe(F.col("lat"), F.col("lon"))
-    ranges = search_box(q_lat, q_lon, F.col("_bound"))
-    boxes = bounded.select(
-        "query_id",
-        F.col("lat").alias("q_lat"),
-        F.col("lon").alias("q_lon"),
-        "_bound",
-        *[value.alias(name) for value, name in zip(ranges, BOX_COLUMNS)],
-    ).withColumns(
-        # an unbounded query looks at the whole globe
-        {
-            "min_lat": F.greatest(F.col("min_lat"), F.lit(-91.0)),
-            "max_lat": F.least(F.col("max_lat"), F.lit(91.0)),
-        }
-    )
-    lat, lon = on_globe(F.col("lat"), F.col("lon"))
-    rows = points.select(
-        "traj_id", "lat", "lon", lat.alias("_glat"), lon.alias("_glon")
+    if pyramid is None:
+        pyramid = build_pyramid(points, k)
+    cells = candidate_cells(pyramid, queries, max(k, 1))
+    rows = _located(points.select("traj_id", "lat", "lon")).withColumnsRenamed(
+        {"_ci": "ci", "_cj": "cj"}
     )
     metres = haversine(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon"))
     best = Window.partitionBy("query_id").orderBy("_metres", "lat", "lon")
     return (
-        match_boxes(rows, boxes, "_glat", "_glon")
+        rows.join(cells.drop("_glat", "_glon"), ["ci", "cj"])
         .withColumn("distance", metres)
         .withColumn("_metres", to_micro(F.col("distance")))
         .where(F.col("_metres") <= F.col("_bound"))

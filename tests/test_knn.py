@@ -7,7 +7,7 @@ from pathweave.operators import knn
 from pathweave.operators.compare import compare_knn, layout_parity
 from pathweave.operators.extent import point_extent
 from pathweave.operators.index import fixed_index, grid_index
-from pathweave.operators.knn_batch import kth_distance_bounds, knn_batch
+from pathweave.operators.knn_batch import build_pyramid, candidate_cells, knn_batch
 from pathweave.operators.segmentation import fixed_segments, grid_segments
 from pathweave.schemas import GridSpec
 from tests.helpers import line, metres, nearest, points
@@ -174,9 +174,28 @@ def test_batch_equals_single_queries(spark, k):
         got.setdefault(r.query_id, []).append((r.traj_id, r.lat, r.lon))
     for n, lat, lon in asked:
         assert got[n] == nearest(flat(tracks), (lat, lon), k), n
-    for r in kth_distance_bounds(rows, queries, k).collect():
-        kth = nearest(flat(tracks), (r.lat, r.lon), k)[-1]
-        assert metres(r.lat, r.lon, kth[1], kth[2]) <= r["_bound"]
+    pyramid = build_pyramid(rows, 70)
+    shared = knn_batch(rows, queries, k, pyramid).where("query_id = 3").orderBy("rank")
+    assert answer(shared) == got[3]
+    for r in candidate_cells(pyramid, queries, k).collect():
+        kth = nearest(flat(tracks), (r.q_lat, r.q_lon), k)[-1]
+        assert metres(r.q_lat, r.q_lon, kth[1], kth[2]) <= r["_bound"]
+
+
+def test_batch_meets_few_points_beside_a_crowd(spark):
+    """Queries outside a dense square only look at its rim."""
+    rng = random.Random(6)
+    crowd = [(40 + rng.random() / 50, 116 + rng.random() / 50) for _ in range(20_000)]
+    rows = points(spark, {"t": crowd})
+    queries = spark.createDataFrame(
+        [(1, 40.05, 116.01), (2, 40.01, 116.1), (3, 40.01, 116.01), (4, 39.0, 115.0)],
+        "query_id int, lat double, lon double",
+    )
+    cells = candidate_cells(build_pyramid(rows, 5), queries, 5)
+    per_query = {r.query_id: r["count"] for r in cells.groupBy("query_id").count().collect()}
+    assert max(per_query.values()) < 100
+    got = knn_batch(rows, queries, 5).where("query_id = 2").orderBy("rank")
+    assert answer(got) == nearest([("t", *p) for p in crowd], (40.01, 116.1), 5)
 
 
 def test_batch_with_few_points(spark):

@@ -23,9 +23,11 @@ from pathweave.functions.pyramid import (
     base_cell,
     on_globe,
 )
-from pathweave.session import shared_folder
+from pathweave.session import cut_lineage, shared_folder
 
 _WORD = 64
+# levels after which the walk is checkpointed, to keep its plan short
+CUT_LEVELS = (14, 8)
 # metres of slack for rounding in cell edges and distances
 _SLACK = 1e-3
 
@@ -165,6 +167,8 @@ def candidate_cells(pyramid: DataFrame, queries: DataFrame, k: int) -> DataFrame
             .where(F.col("_metres") - radius <= F.col("_bound"))
             .drop("_metres")
         )
+        if level in CUT_LEVELS:
+            cells = cut_lineage(cells)
     return cells
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pathweave.functions.arrays import decode_doubles, encode_doubles
 from pathweave.functions.distance import to_micro
+from pathweave.functions.grid import ring_cells
 from pathweave.functions.predicates import bounds_contain_point
 from pathweave.functions.scalars import iso_text
 from pathweave.functions.wkb import point_geometry
@@ -328,6 +329,37 @@ def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "ring_neighbours",
+    with_(
+        ROWS,
+        EXTENT,
+        CELLS,
+        "filled AS (SELECT cell_i, cell_j, count(*) AS n FROM cells"
+        " GROUP BY cell_i, cell_j)",
+        "SELECT a.cell_i, a.cell_j, CAST(sum(b.n) AS BIGINT) AS n_points"
+        " FROM filled a JOIN filled b ON b.cell_i BETWEEN a.cell_i - 1 AND a.cell_i + 1"
+        " AND b.cell_j BETWEEN a.cell_j - 1 AND a.cell_j + 1"
+        " GROUP BY a.cell_i, a.cell_j",
+    ),
+)
+def ring_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in the 3x3 block around every occupied cell: each cell hands its
+    count to its neighbours, so points are aggregated before anything spreads."""
+    rows = with_cells(
+        lineitem_rows(spark, sf_dir), view_grid(spark, sf_dir), CELL, label=False
+    )
+    filled = rows.groupBy("cell_i", "cell_j").agg(F.count(F.lit(1)).alias("n"))
+    handed = filled.select(
+        "n", F.inline(ring_cells(F.col("cell_i"), F.col("cell_j")))
+    )
+    return (
+        handed.join(filled.drop("n"), ["cell_i", "cell_j"], "left_semi")
+        .groupBy("cell_i", "cell_j")
+        .agg(F.sum("n").alias("n_points"))
+    )
+
+
 @query(
     "iso_timestamps",
     "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') ||"

@@ -60,7 +60,7 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``traj_id, seq, lat, lon, altitude, timestamp``, ordered by time."""
     order = ["timestamp", "event_id"]
-    chunk = [F.expr("date_trunc('HOUR', timestamp)")]
+    chunk = [F.expr("date_trunc('MINUTE', timestamp)")]
     return dense_position(
         event_rows(spark, sf_dir), ["traj_id"], order, chunk
     ).select("traj_id", "seq", "lat", "lon", "altitude", "timestamp")

@@ -28,6 +28,26 @@ from pathweave.sources.segments import read_segments, write_segments
 # fixed value: rows per row group of the second GeoParquet layout
 GEO_ROW_GROUP = 10_000
 
+# display names
+POINTS = "Base Parquet"
+CSV = "CSV"
+FIXED = "Fixed Segments"
+FIXED_INDEX = "Fixed Segments (index)"
+GRID = "Grid Segments"
+GRID_INDEX = "Grid Segments (index)"
+GEO = "GeoParquet"
+GEO_SMALL_GROUPS = "GeoParquet (small groups)"
+DISPLAY_NAMES = (
+    POINTS,
+    CSV,
+    FIXED,
+    FIXED_INDEX,
+    GRID,
+    GRID_INDEX,
+    GEO,
+    GEO_SMALL_GROUPS,
+)
+
 
 @dataclass(frozen=True)
 class Layouts:
@@ -85,33 +105,48 @@ def build_layouts(
     key: Sequence[str] = ("traj_id",),
     max_segment_size: int = FIXED_SEGMENT_POINTS,
     cell_size: float = CELL_SIZE,
+    names: Sequence[str] | None = None,
 ) -> Layouts:
     """Write what is missing below ``root``; each step reads the stored result of
     the one before it, so a lost executor never repeats the whole chain. What an
-    aborted run left unfinished is written anew."""
+    aborted run left unfinished is written anew. ``names`` limits the work to some
+    layouts (by display name) and those they are computed from.
+    """
     out = Layouts(root)
+    wanted = set(DISPLAY_NAMES if names is None else names)
+    unknown = wanted - set(DISPLAY_NAMES)
+    if unknown:
+        raise ValueError(f"unknown layouts: {sorted(unknown)}")
+    if FIXED_INDEX in wanted:
+        wanted.add(FIXED)
+    if GRID_INDEX in wanted:
+        wanted.add(GRID)
+
+    def missing(name: str, path: str) -> bool:
+        return name in wanted and not exists(spark, path)
+
     if not exists(spark, out.points):
         write_points(points, out.points, "overwrite")
     stored = spark.read.parquet(out.points)
-    if not exists(spark, out.csv):
+    if missing(CSV, out.csv):
         write_points_csv(stored, out.csv, "overwrite")
-    if not exists(spark, out.fixed):
+    if missing(FIXED, out.fixed):
         fixed = fixed_segments(stored, max_segment_size, key)
         write_segments(fixed, out.fixed, "overwrite")
-    if not exists(spark, out.fixed_index):
-        # the index keeps the clustering of the files it is computed from
+    if missing(FIXED_INDEX, out.fixed_index):
+        # an index keeps the clustering of the files it is computed from
         index = fixed_index(read_segments(spark, out.fixed))
         write_segments(index, out.fixed_index, "overwrite", cluster=False)
-    if not exists(spark, out.grid):
+    if missing(GRID, out.grid):
         grid = point_extent(stored)
         cut = grid_segments(stored, grid, cell_size, key)
         write_segments(cut, out.grid, "overwrite")
-    if not exists(spark, out.grid_index):
+    if missing(GRID_INDEX, out.grid_index):
         index = grid_index(read_segments(spark, out.grid), cell_size)
         write_segments(index, out.grid_index, "overwrite", cluster=False)
-    if not exists(spark, out.geo):
+    if missing(GEO, out.geo):
         write_geoparquet(stored, out.geo, "overwrite")
-    if not exists(spark, out.geo_small_groups):
+    if missing(GEO_SMALL_GROUPS, out.geo_small_groups):
         write_geoparquet(
             stored, out.geo_small_groups, "overwrite", row_group_size=GEO_ROW_GROUP
         )
@@ -121,20 +156,14 @@ def build_layouts(
 def open_layouts(spark: SparkSession, layouts: Layouts) -> dict[str, DataFrame]:
     """DataFrames of the layouts that exist, by display name."""
     readers = {
-        "Base Parquet": (layouts.points, lambda p: read_points(spark, p)),
-        "CSV": (layouts.csv, lambda p: _read_csv(spark, p)),
-        "Fixed Segments": (layouts.fixed, lambda p: read_segments(spark, p)),
-        "Grid Segments": (layouts.grid, lambda p: read_segments(spark, p)),
-        "Fixed Segments (index)": (
-            layouts.fixed_index,
-            lambda p: read_segments(spark, p, SEG_FIXED),
-        ),
-        "Grid Segments (index)": (
-            layouts.grid_index,
-            lambda p: read_segments(spark, p, SEG_GRID),
-        ),
-        "GeoParquet": (layouts.geo, lambda p: read_geoparquet(spark, p)),
-        "GeoParquet (small groups)": (
+        POINTS: (layouts.points, lambda p: read_points(spark, p)),
+        CSV: (layouts.csv, lambda p: _read_csv(spark, p)),
+        FIXED: (layouts.fixed, lambda p: read_segments(spark, p)),
+        FIXED_INDEX: (layouts.fixed_index, lambda p: read_segments(spark, p, SEG_FIXED)),
+        GRID: (layouts.grid, lambda p: read_segments(spark, p)),
+        GRID_INDEX: (layouts.grid_index, lambda p: read_segments(spark, p, SEG_GRID)),
+        GEO: (layouts.geo, lambda p: read_geoparquet(spark, p)),
+        GEO_SMALL_GROUPS: (
             layouts.geo_small_groups,
             lambda p: read_geoparquet(spark, p),
         ),

@@ -25,7 +25,7 @@ from pathweave.operators.index import fixed_index, grid_index
 from pathweave.operators.knn_batch import knn_batch
 from pathweave.operators.profile import layout_profile
 from pathweave.plans.evaluation import bbox_results
-from pathweave.plans.stored import opened, stored_layouts
+from pathweave.plans.stored import stored_layout, stored_layouts
 from pathweave.plans.table_views import (
     LINEITEM_ORDER,
     customer_boxes,
@@ -414,19 +414,19 @@ def bbox_points_within(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bbox_stored_points", with_(ROWS, first_in_box_sql(in_box_sql(BOX))))
 def bbox_stored_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = opened(spark, sf_dir)["Base Parquet"]
+    points = stored_layout(spark, sf_dir, "Base Parquet")
     return bbox.bbox_points(points, BOX).select(*POINT_COLUMNS)
 
 
 @query("bbox_csv", with_(ROWS, first_in_box_sql(in_box_sql(BOX))))
 def bbox_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = opened(spark, sf_dir)["CSV"]
+    points = stored_layout(spark, sf_dir, "CSV")
     return bbox.bbox_points(points, BOX).select(*POINT_COLUMNS)
 
 
 @query("bbox_geo", with_(ROWS, first_in_box_sql(in_box_sql(BOX))))
 def bbox_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = opened(spark, sf_dir)["GeoParquet"]
+    points = stored_layout(spark, sf_dir, "GeoParquet")
     return bbox.bbox_points(without_geometry(points), BOX).select(*POINT_COLUMNS)
 
 
@@ -439,7 +439,7 @@ def bbox_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def geo_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stored geometry is the little-endian point of its coordinates."""
-    points = opened(spark, sf_dir)["GeoParquet (small groups)"]
+    points = stored_layout(spark, sf_dir, "GeoParquet (small groups)")
     return points.select(
         "traj_id",
         "seq",
@@ -452,12 +452,12 @@ def geo_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bbox_fixed_refine", with_(FIXED, refined_sql(BOX)))
 def bbox_fixed_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bbox.bbox_segments(opened(spark, sf_dir)["Fixed Segments"], BOX)
+    return bbox.bbox_segments(stored_layout(spark, sf_dir, "Fixed Segments"), BOX)
 
 
 @query("bbox_grid_refine", with_(GRID_ALL, refined_sql(BOX)))
 def bbox_grid_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bbox.bbox_segments(opened(spark, sf_dir)["Grid Segments"], BOX, "points")
+    return bbox.bbox_segments(stored_layout(spark, sf_dir, "Grid Segments"), BOX, "points")
 
 
 @query(
@@ -523,7 +523,7 @@ def grid_segments_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("grid_segment_bounds", with_(GRID_ALL, BOUNDS, SEGMENT_ROWS))
 def grid_segment_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = opened(spark, sf_dir)["Grid Segments"]
+    segments = stored_layout(spark, sf_dir, "Grid Segments")
     return segment_rows(segmentation.recompute_bounds(segments))
 
 
@@ -532,7 +532,7 @@ def grid_segment_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_(GRID_ALL, BOUNDS, SEGMENT_ROWS + f" WHERE {overlap_sql(BOX)}"),
 )
 def segment_mbr_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = opened(spark, sf_dir)["Grid Segments"]
+    segments = stored_layout(spark, sf_dir, "Grid Segments")
     return segment_rows(scan_segments(segments, BOX, None))
 
 
@@ -547,7 +547,7 @@ def segment_mbr_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def segment_mbr_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = opened(spark, sf_dir)["Fixed Segments"]
+    segments = stored_layout(spark, sf_dir, "Fixed Segments")
     return segment_rows(segments.where(bounds_contain_point(*POINT)))
 
 
@@ -562,7 +562,7 @@ def segment_mbr_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def segment_any_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = opened(spark, sf_dir)["Grid Segments"]
+    segments = stored_layout(spark, sf_dir, "Grid Segments")
     return segment_rows(bbox.segments_touching(segments, BOX))
 
 
@@ -572,7 +572,7 @@ def segment_any_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def string_array_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrays to text and back."""
-    segments = opened(spark, sf_dir)["Fixed Segments"]
+    segments = stored_layout(spark, sf_dir, "Fixed Segments")
     as_text = segments.withColumns(
         {c: encode_doubles(F.col(c)) for c in ("vals_x", "vals_y")}
     )
@@ -649,7 +649,7 @@ indexed AS (
     ),
 )
 def extent_of_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment_extent(opened(spark, sf_dir)["Grid Segments"])
+    return segment_extent(stored_layout(spark, sf_dir, "Grid Segments"))
 
 
 @query(
@@ -664,7 +664,7 @@ def extent_of_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def index_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    indexed = fixed_index(opened(spark, sf_dir)["Fixed Segments"])
+    indexed = fixed_index(stored_layout(spark, sf_dir, "Fixed Segments"))
     return indexed.select(
         "entity_id",
         "segment_id",
@@ -688,7 +688,7 @@ def index_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def index_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    indexed = grid_index(opened(spark, sf_dir)["Grid Segments"], CELL)
+    indexed = grid_index(stored_layout(spark, sf_dir, "Grid Segments"), CELL)
     return indexed.select("entity_id", "segment_id", "cell_i", "cell_j", "grid_cell")
 
 
@@ -702,7 +702,7 @@ def index_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def index_grid_own_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = opened(spark, sf_dir)["Grid Segments"]
+    segments = stored_layout(spark, sf_dir, "Grid Segments")
     indexed = grid_index(segments, CELL, anchor="own_cell")
     return indexed.select("entity_id", "segment_id", "cell_i", "cell_j")
 
@@ -745,18 +745,18 @@ def knn_points_far(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("knn_stored_points", with_(ROWS, nearest_sql("pts")))
 def knn_stored_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(knn.knn_points(opened(spark, sf_dir)["Base Parquet"], POINT, K))
+    return rounded(knn.knn_points(stored_layout(spark, sf_dir, "Base Parquet"), POINT, K))
 
 
 @query("knn_fixed_nodedup", with_(FIXED, nearest_sql(AS_POSITIONS, dedup=False)))
 def knn_fixed_nodedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = opened(spark, sf_dir)["Fixed Segments"]
+    segments = stored_layout(spark, sf_dir, "Fixed Segments")
     return rounded(knn.knn_segment_points(segments, POINT, K))
 
 
 @query("knn_grid_dedup", with_(GRID_ALL, nearest_sql(AS_POSITIONS)))
 def knn_grid_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(knn.knn_segments(opened(spark, sf_dir)["Grid Segments"], POINT, K))
+    return rounded(knn.knn_segments(stored_layout(spark, sf_dir, "Grid Segments"), POINT, K))
 
 
 @query(
@@ -773,7 +773,7 @@ def knn_grid_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def knn_segments_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = opened(spark, sf_dir)["Grid Segments (index)"]
+    index = stored_layout(spark, sf_dir, "Grid Segments (index)")
     return rounded(knn.knn_segments(index, POINT, K, ring=1))
 
 
@@ -788,7 +788,7 @@ def knn_segments_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def centroid_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = opened(spark, sf_dir)["Fixed Segments (index)"]
+    index = stored_layout(spark, sf_dir, "Fixed Segments (index)")
     kept = index.where(bounds_contain_point(*POINT))
     return knn.nearest_centroids(kept, POINT, TOP_CENTROIDS).select(
         "entity_id", "segment_id"
@@ -800,7 +800,7 @@ def centroid_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_(FIXED, BOUNDS, FIXED_INDEX, CONTAINING, nearest_sql(KEPT_POSITIONS)),
 )
 def knn_fixed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = opened(spark, sf_dir)["Fixed Segments (index)"]
+    index = stored_layout(spark, sf_dir, "Fixed Segments (index)")
     return rounded(knn.knn_fixed_index(index, POINT, K, TOP_CENTROIDS))
 
 
@@ -818,7 +818,7 @@ def knn_fixed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def knn_grid_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = opened(spark, sf_dir)["Grid Segments (index)"]
+    index = stored_layout(spark, sf_dir, "Grid Segments (index)")
     return rounded(knn.knn_grid_index(index, POINT, K))
 
 
@@ -846,7 +846,7 @@ SELECT traj_id, lat, lon, round(distance, 1) AS distance FROM (
     ),
 )
 def knn_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = opened(spark, sf_dir)["GeoParquet (small groups)"]
+    points = stored_layout(spark, sf_dir, "GeoParquet (small groups)")
     found = knn.knn_geoparquet(points, GEO_POINT, K, grid_resolution=0.001)
     return found.withColumn("distance", F.round("distance", 1))
 
@@ -907,7 +907,9 @@ FROM a JOIN b ON a.rank = b.rank""",
     ),
 )
 def knn_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    layouts = opened(spark, sf_dir)
+    layouts = stored_layouts(
+        spark, sf_dir, "Base Parquet", "Fixed Segments (index)"
+    )
     base = knn.knn_points(layouts["Base Parquet"], POINT, K)
     fixed = knn.knn_fixed_index(
         layouts["Fixed Segments (index)"], POINT, K, TOP_CENTROIDS
@@ -943,13 +945,13 @@ found AS (SELECT count(*) AS n FROM (
     ),
 )
 def parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout_parity(bbox_results(opened(spark, sf_dir), BOX))
+    return layout_parity(bbox_results(stored_layouts(spark, sf_dir), BOX))
 
 
 @query("layout_profile")
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File sizes depend on the writer, so there is no SQL twin."""
-    return layout_profile(spark, opened(spark, sf_dir))
+    return layout_profile(spark, stored_layouts(spark, sf_dir))
 
 
 @query(
@@ -957,7 +959,7 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_(ROWS, 'SELECT traj_id, seq, lat, lon, altitude, "timestamp" FROM pts'),
 )
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return opened(spark, sf_dir)["CSV"]
+    return stored_layout(spark, sf_dir, "CSV")
 
 
 @query(
@@ -971,8 +973,9 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def layouts_built(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second build leaves what exists alone and ends with the same rows."""
-    stored_layouts(spark, sf_dir)
-    layouts = opened(spark, sf_dir)
+    names = ("Base Parquet", "Fixed Segments")
+    stored_layouts(spark, sf_dir, *names)
+    layouts = stored_layouts(spark, sf_dir, *names)
     count = F.count(F.lit(1)).alias("n_rows")
     return (
         layouts["Base Parquet"]

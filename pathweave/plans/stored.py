@@ -7,7 +7,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathweave.plans.layouts import Layouts, build_layouts, open_layouts
+from pathweave.plans.layouts import DISPLAY_NAMES, build_layouts, open_layouts
 from pathweave.plans.table_views import lineitem_points
 
 _local_roots: dict[str, str] = {}
@@ -25,13 +25,18 @@ def _root(spark: SparkSession, sf_dir: str) -> str:
     return f"{shared.rstrip('/')}/pathweave-{app}/{tables}"
 
 
-def stored_layouts(spark: SparkSession, sf_dir: str) -> Layouts:
-    """Every layout of the supplier trajectories, written below the shared
-    folder unless this application has already done so."""
-    return build_layouts(
-        spark, _root(spark, sf_dir), lineitem_points(spark, sf_dir)
+def stored_layouts(
+    spark: SparkSession, sf_dir: str, *names: str
+) -> dict[str, DataFrame]:
+    """The named layouts (all, if none is named) of the supplier trajectories,
+    written below the shared folder unless this application has done so before."""
+    chosen = names or DISPLAY_NAMES
+    layouts = build_layouts(
+        spark, _root(spark, sf_dir), lineitem_points(spark, sf_dir), names=chosen
     )
+    found = open_layouts(spark, layouts)
+    return {name: found[name] for name in chosen}
 
 
-def opened(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return open_layouts(spark, stored_layouts(spark, sf_dir))
+def stored_layout(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return stored_layouts(spark, sf_dir, name)[name]

@@ -36,6 +36,7 @@ from pathweave.operators.dedup import distinct_positions
 from pathweave.operators.extent import segment_extent
 from pathweave.operators.segmentation import CELL_SIZE
 from pathweave.schemas import BBox, GridSpec
+from pathweave.session import stored_table
 
 Point = tuple[float, float]
 Scan = Callable[[BBox | None], DataFrame]
@@ -232,10 +233,12 @@ def knn_grid_index(
     """Approximate k-NN on the grid index, in two phases.
 
     The index cells around the point name the entities; then all segments of
-    those entities are searched. Empty if no cell matches.
+    those entities are searched. Empty if no cell matches. The entities are
+    stored first: their true size decides whether the segments must be shuffled.
     """
     grid = grid or resolve_grid(index, cell_size)
-    entities = ring_filter(index, point, grid, ring).select("entity_id").distinct()
+    around = ring_filter(index, point, grid, ring).select("entity_id").distinct()
+    entities = stored_table(around, "entities")
     return knn_segments(index.join(entities, "entity_id", "left_semi"), point, k)
 
 

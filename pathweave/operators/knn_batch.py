@@ -23,11 +23,13 @@ from pathweave.functions.pyramid import (
     base_cell,
     on_globe,
 )
-from pathweave.session import cut_lineage, shared_folder
+from pathweave.session import shared_folder, stored_table
 
 _WORD = 64
-# levels after which the walk is checkpointed, to keep its plan short
-CUT_LEVELS = (14, 8)
+# Levels after which the cells in play are stored: one on the way, to keep plans
+# short, and the fine ones, where the pyramid is large and must not be shuffled
+# for the sake of a few cells.
+STORED_LEVELS = (10, 6, 4, 2)
 # metres of slack for rounding in cell edges and distances
 _SLACK = 1e-3
 
@@ -112,7 +114,8 @@ def candidate_cells(pyramid: DataFrame, queries: DataFrame, k: int) -> DataFrame
     one of the k nearest positions, with the bound of the k-th distance.
 
     The cells of a query lie along the rim of its answer; their number follows
-    the shape of the data there, not its density.
+    the shape of the data there, not its density. The size of a stored level
+    decides how the next level of the pyramid is joined.
     """
     n_seen = sum(
         (F.bit_count(name) for name in pyramid.columns if name.startswith("_w")),
@@ -167,8 +170,8 @@ def candidate_cells(pyramid: DataFrame, queries: DataFrame, k: int) -> DataFrame
             .where(F.col("_metres") - radius <= F.col("_bound"))
             .drop("_metres")
         )
-        if level in CUT_LEVELS:
-            cells = cut_lineage(cells)
+        if level in STORED_LEVELS:
+            cells = stored_table(cells, f"cells-{level}")
     return cells
 
 

@@ -1,4 +1,4 @@
-"""Session defaults and the shared checkpoint folder."""
+"""Session defaults and intermediate tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -22,20 +22,6 @@ def with_defaults(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable ``checkpoint()`` into the folder the cluster names.
-
-    Only a session without ``spark.checkpoint.dir`` (a test on one machine) gets
-    a folder of its own.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pathweave-checkpoint-"))
-    return df.checkpoint()
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder the cluster shares (``spark.checkpoint.dir``).
 
@@ -46,3 +32,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if root is None:
         root = tempfile.mkdtemp(prefix="pathweave-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below the shared folder and read back.
+
+    Cuts the lineage, survives lost executors, and gives the planner the true
+    size, so that a following join broadcasts it only if it is small enough and
+    otherwise shuffles, without guessing.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

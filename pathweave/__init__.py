@@ -5,6 +5,14 @@ and k-nearest-neighbour queries over each of them. Every public operator is a
 plain function ``DataFrame -> DataFrame`` and stays lazy until the caller acts.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from pathweave.schemas import BBox, GridSpec
 
+# The Arrow function and the GeoParquet writer run in Python workers; sent by
+# value, they need no copy of this package on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["BBox", "GridSpec"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pathweave.llm import packing, token_counts, token_files
+from pathweave.llm import packing, quality_rules, secrets, token_counts, token_files
 from pathweave.llm.common import table
 from pathweave.session import shared_folder
 
@@ -29,10 +29,50 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "failed")
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+words AS (
+  SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS i
+  FROM (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d)),
+windows AS (
+  SELECT r, i, list(w) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS g FROM words),
+twice AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM windows WHERE len(g) = 8) WHERE c > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(8) AS s(k) GROUP BY r),
+counted AS (SELECT r, count(*) AS n, sum(length(w)) AS c FROM words GROUP BY r),
+lines AS (
+  SELECT r, count(*) AS n, count(DISTINCT l) AS u
+  FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (
+  SELECT doc_id, coalesce(counted.n, 0) AS n_words, coalesce(counted.c, 0)::BIGINT AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(lines.n, 0) AS n_lines, coalesce(lines.n - lines.u, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN counted USING (r) LEFT JOIN lines USING (r) LEFT JOIN covered USING (r)),
+f AS (
+  SELECT *, ((n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT + 4 * (2 * n_symbols > n_words)::BIGINT
+    + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (10 * n_symbols > n_words)::BIGINT
+    + 64 * (10 * n_dup_lines > 3 * n_lines)::BIGINT + 128 * (word_chars > 25 * n_words)::BIGINT)::BIGINT AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (failed & 3) <> 0 AS base_failed, (failed & 31) = 0 AS kept, n_lines, failed FROM f
+"""
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_token_counts": op3_token_counts,
     "op6_packing": op6_packing,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_secrets": op10_secrets,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_quality_rules": OP8_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pathweave.llm import packing, quality_rules, secrets, token_counts, token_files
+from pathweave.llm import decontamination, packing, quality_rules, secrets, token_counts, token_files
 from pathweave.llm.common import table
 from pathweave.session import shared_folder
 
@@ -62,6 +62,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 """
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+OP9_SQL = r"""
+WITH fold AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS a, 'abcdefghijklmnopqrstuvwxyz' AS b),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents, fold),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark, fold WHERE item_id IS NOT NULL),
+item_windows AS (
+  SELECT DISTINCT item_id, size, ws[i + 1 : i + size] AS g
+  FROM (SELECT item_id, ws, least(len(ws), 13) AS size, unnest(range(len(ws) - least(len(ws), 13) + 1)) AS i FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT size FROM item_windows),
+doc_windows AS (
+  SELECT r, i, size, ws[i + 1 : i + size] AS g
+  FROM (SELECT r, ws, size, unnest(range(len(ws) - size + 1)) AS i FROM d, sizes WHERE len(ws) >= size)),
+met AS (SELECT r, i, w.size, item_id FROM doc_windows w JOIN item_windows v ON w.size = v.size AND w.g = v.g),
+hit AS (SELECT r, count(DISTINCT i + k) AS n FROM met, range(13) AS s(k) WHERE k < size GROUP BY r),
+own AS (
+  SELECT r, count(*) AS n, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS h
+  FROM (SELECT DISTINCT r, item_id FROM met) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(own.n, 0) AS n_items,
+  coalesce(own.h, sha256('')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r)
+"""
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf")
@@ -72,7 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op6_packing": op6_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_decontamination": op9_decontamination,
     "op10_secrets": op10_secrets,
 }
 
-ORACLE: dict[str, str] = {"op8_quality_rules": OP8_SQL}
+ORACLE: dict[str, str] = {"op8_quality_rules": OP8_SQL, "op9_decontamination": OP9_SQL}

@@ -12,8 +12,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +22,15 @@ from pathweave.llm.common import batch_of, slices, texts_of
 
 #: So many documents of either label are learned from, at most.
 SAMPLE_DOCS = 3000
-#: Words in fewer of these documents carry no weight.
+#: Features in fewer toxic documents of the sample carry no weight.
 LEAST_DOCS = 3
-EPOCHS = 150
-#: A word's weight below this is taken as none.
-LEAST_WEIGHT = 0.02
+#: Lengths of the word beginnings that are features beside the words.
+PREFIXES = (4, 5, 6)
+EPOCHS = 200
+CHANCE_DOCS = 1.0
+#: The bias of a sentence when nothing is learned.
+NO_BIAS = -6.0
+CACHE_WORDS = 400_000
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 _sentence = re.compile(r"[^.!?\n]+")
@@ -48,61 +50,111 @@ def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
             yield m.start(), m.end(), words
 
 
-@dataclass
+def features(word: str) -> list[str]:
+    """A word and its beginnings, marked as such; inflected forms share the latter."""
+    return [word, *(word[:n] + "~" for n in PREFIXES if len(word) >= n)]
+
+
+class _WordWeights(dict):
+    """Weights of words, summed up from their features when first met; bounded."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> float:
+        value = sum(self.weights.get(f, 0.0) for f in features(word))
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        if len(word) <= 40:
+            self[word] = value
+        return value
+
+
 class ToxicityModel:
-    """Weights of words and the bias of a sentence."""
+    """Weights of word features and the bias of a sentence."""
+
+    def __init__(self, weights: dict[str, float], bias: float):
+        self.weights, self.bias = weights, bias
+        self.of = _WordWeights(weights)
 
-    weights: dict[str, float]
-    bias: float
+    def __reduce__(self):
+        return type(self), (self.weights, self.bias)
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[int], epochs: int = EPOCHS, decay: float = 2e-4, rate: float = 0.3) -> ToxicityModel:
-        """Maximum likelihood of the document labels under noisy-or (Adagrad)."""
+    def fit(cls, texts: list[str], labels: list[int], epochs: int = EPOCHS, chance_docs: float = CHANCE_DOCS, rate: float = 0.5) -> ToxicityModel:
+        """Maximum likelihood of the document labels under noisy-or, by proximal
+        Adagrad: a feature stays at zero unless it does
+        more than ``chance_docs`` documents could do by chance."""
         if not texts or len(set(labels)) < 2:
-            return cls({}, -6.0)
-        documents = [[words for _, _, words in sentences(t)] for t in texts]
-        seen = Counter(w for d in documents for w in {w for s in d for w in s})
-        numbers = {w: n for n, w in enumerate(sorted(w for w, c in seen.items() if c >= LEAST_DOCS and w))}
-        word, sentence, owner = [], [], []
+            return cls({}, NO_BIAS)
+        documents = [[{f for w in set(words) for f in features(w)} for _, _, words in sentences(t)] for t in texts]
+        seen, guilty = Counter(), Counter()
+        for document, label in zip(documents, labels):
+            own = set().union(*document)
+            seen.update(own)
+            if label:
+                guilty.update(own)
+        # what is not more frequent in toxic documents can't show that a sentence is
+        even = sum(labels) / len(labels)
+        numbers = {f: n for n, f in enumerate(sorted(f for f, c in guilty.items() if c >= LEAST_DOCS and c > even * seen[f] and f))}
+        feature, sentence, owner = [], [], []
         for d, document in enumerate(documents):
-            for words in document:
-                known = {numbers[w] for w in words if w in numbers}
-                word.extend(known)
+            for own in document:
+                known = [numbers[f] for f in own if f in numbers]
+                feature.extend(known)
                 sentence.extend([len(owner)] * len(known))
                 owner.append(d)
-        word, sentence, owner = (np.array(x, dtype=np.int64) for x in (word, sentence, owner))
+        feature, sentence, owner = (np.array(x, dtype=np.int64) for x in (feature, sentence, owner))
         toxic = np.array(labels) == 1
-        share = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
-        weights, bias = np.zeros(len(numbers)), -5.0
+        share = 1 / len(texts)
+        least = chance_docs * share
+        weights, bias = np.zeros(len(numbers)), NO_BIAS
         speed, speed_b = np.full(len(numbers), 1e-8), 1e-8
         for _ in range(epochs):
-            z = np.bincount(sentence, weights=weights[word], minlength=len(owner)) + bias
+            z = np.bincount(sentence, weights=weights[feature], minlength=len(owner)) + bias
             total = np.bincount(owner, weights=np.logaddexp(0, z), minlength=len(texts))
             slope = np.where(toxic, -1 / np.expm1(np.clip(total, 1e-9, 50)), 1.0) * share
             slope = slope[owner] / (1 + np.exp(-z))
-            down = np.bincount(word, weights=slope[sentence], minlength=len(numbers)) + decay / len(texts) * weights
+            down = np.bincount(feature, weights=slope[sentence], minlength=len(numbers))
             down_b = slope.sum()
             speed += down**2
             speed_b += down_b**2
-            weights -= rate * down / np.sqrt(speed)
+            step = rate / np.sqrt(speed)
+            weights -= step * down
+            weights = np.sign(weights) * np.maximum(np.abs(weights) - step * least, 0)
             bias -= rate * down_b / math.sqrt(speed_b)
-        kept = {w: float(weights[n]) for w, n in numbers.items() if abs(weights[n]) >= LEAST_WEIGHT}
-        return cls(kept, float(bias))
+        evidence = np.bincount(sentence, weights=weights[feature], minlength=len(owner))
+        bias = _calibrated(evidence, owner, toxic, bias)
+        return cls({f: float(weights[n]) for f, n in numbers.items() if weights[n]}, bias)
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's score and (start, end, score) of its sentences above the
         threshold, the worst first."""
-        get, bias, none, total, worst = self.weights.get, self.bias, repeat(0.0), 0.0, []
+        of, bias, total, worst = self.of.__getitem__, self.bias, 0.0, []
         for start, end, words in sentences(text):
             # a word counts once in a sentence, as in training
-            z = bias + sum(map(get, set(words), none))
+            z = bias + sum(map(of, set(words)))
             total += math.log1p(math.exp(z)) if z < 30 else z
             if z > -1:
-                worst.append((start, end, 1 / (1 + math.exp(-z))))
+                worst.append((start, end, 1 / (1 + math.exp(-min(z, 500)))))
         offending = sorted((s for s in worst if s[2] >= THRESHOLD), key=lambda s: (-s[2], s[0]))
         return min(max(-math.expm1(-total), 0.0), 1.0), offending
 
 
+def _calibrated(evidence: np.ndarray, owner: np.ndarray, toxic: np.ndarray, bias: float) -> float:
+    """The bias, from the learned one down, whose decisions at the threshold have the
+    best F1 on the sample; the middle of several that are equally good."""
+    found = []
+    for candidate in np.arange(bias + 1, bias - 12, -0.25):
+        total = np.bincount(owner, weights=np.logaddexp(0, evidence + candidate), minlength=len(toxic))
+        said = -np.expm1(-total) >= THRESHOLD
+        found.append((2 * (said & toxic).sum() / max(said.sum() + toxic.sum(), 1), float(candidate)))
+    best = max(f for f, _ in found)
+    good = [b for f, b in found if f >= best - 1e-9]
+    return good[len(good) // 2]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> ToxicityModel:
     """A model of the labelled rows that are not held out.
 
@@ -116,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for label in (0, 1):
         picked += usable.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()
     if not picked:
-        return ToxicityModel({}, -6.0)
+        return ToxicityModel({}, NO_BIAS)
     chosen = docs.sparkSession.createDataFrame(sorted({(r.doc_id, r.label) for r in picked}), "doc_id long, label int")
     rows = texts_of(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     rows = sorted(rows.limit(4 * sample_docs).collect())

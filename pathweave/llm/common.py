@@ -6,10 +6,13 @@ import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathweave.session import stored_table
+
 SLICE_BYTES = 4 << 20
 
 
@@ -60,3 +63,54 @@ def batch_of(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
         [x if isinstance(x, pa.Array) else pa.array(x, type=schema.field(n).type) for n, x in ((f.name, columns[f.name]) for f in schema)],
         schema=schema,
     )
+
+
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """``stored_table``, and the shuffle files that made it are removed at once, as
+    nothing reads them again."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        return stored_table(df, name)
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
+FILTER_BITS = 25
+
+
+def _bit(column: str, bits: int):
+    return F.pmod(F.xxhash64(column), F.lit(1 << bits))
+
+
+def bit_filter(df: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A table of 2 ** ``bits`` bits, one set for each value of ``column`` by its hash.
+
+    It is summed up by Spark and has the same size whatever the input. Rows whose bit
+    isn't set have no partner in ``df``; with more values than bits it lets more rows
+    pass, never fewer, so it only saves shuffling. See ``has_bit``.
+    """
+    places = df.select(_bit(column, bits).alias("at"))
+    words = places.groupBy(F.expr("int(at div 64)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(at % 64)))").alias("bits")).toArrow()
+    out = np.zeros((1 << bits) // 64, dtype=np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def has_bit(df: DataFrame, column: str, shared, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be in a broadcast ``bit_filter``."""
+    marked = df.withColumn("_at", _bit(column, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            at = batch.column("_at").to_numpy(zero_copy_only=False)
+            keep = (table[at >> 6] >> (at & 63)) & 1
+            if keep.any():
+                yield batch.filter(pa.array(keep.astype(bool)))
+
+    return marked.mapInArrow(run, marked.schema).drop("_at")

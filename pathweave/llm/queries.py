@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pathweave.llm import decontamination, language_id, packing, quality_rules, secrets, token_counts, token_files, toxicity
+from pathweave.llm import decontamination, jaccard_join, language_id, packing, quality_rules, secrets, token_counts, token_files, toxicity
 from pathweave.llm.common import table
 from pathweave.session import shared_folder
 
@@ -30,6 +30,32 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"), size=4, threshold=85)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, ws[i + 1 : i + size] AS g
+  FROM (SELECT doc_id, ws, least(len(ws), 4) AS size, unnest(range(len(ws) - least(len(ws), 4) + 1)) AS i FROM d WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN sizes s ON s.doc_id = a.doc_id JOIN sizes t ON t.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, s.n, t.n HAVING 100 * count(*) >= 85 * (s.n + t.n - count(*))),
+reach AS (
+  SELECT doc_id, doc_id AS low FROM documents
+  UNION
+  SELECT l.b, r.low FROM reach r JOIN links l ON l.a = r.doc_id)
+SELECT r.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.low) AS component_id
+FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -113,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
@@ -120,4 +147,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLE: dict[str, str] = {"op8_quality_rules": OP8_SQL, "op9_decontamination": OP9_SQL}
+ORACLE: dict[str, str] = {"op5_jaccard_join": OP5_SQL, "op8_quality_rules": OP8_SQL, "op9_decontamination": OP9_SQL}

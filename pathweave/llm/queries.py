@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pathweave.llm import decontamination, jaccard_join, language_id, packing, quality_rules, secrets, token_counts, token_files, toxicity
+from pathweave.llm import decontamination, jaccard_join, language_id, packing, quality_rules, secrets, suffix_dedup, token_counts, token_files, toxicity
 from pathweave.llm.common import table
 from pathweave.session import shared_folder
 
@@ -30,6 +30,31 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.find_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, h, unnest(range(len(h) // 2)) AS p FROM d),
+windows AS MATERIALIZED (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 100)) AS w FROM starts WHERE 2 * p + 100 <= len(h)),
+lows AS (SELECT w, min(doc_id) AS low FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
+repeats AS MATERIALIZED (SELECT doc_id, p FROM windows JOIN lows USING (w) WHERE low < doc_id),
+jumps AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50, true)::INT AS jump FROM repeats),
+runs AS (SELECT doc_id, p, sum(jump) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM jumps),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM runs GROUP BY doc_id, g),
+pieces AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS after FROM spans),
+summed AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * after + 1, 2 * (a - after)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM pieces JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN summed USING (doc_id)
+"""
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"), size=4, threshold=85)
 
@@ -139,6 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
     "op7_language_id": op7_language_id,
@@ -147,4 +173,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLE: dict[str, str] = {"op5_jaccard_join": OP5_SQL, "op8_quality_rules": OP8_SQL, "op9_decontamination": OP9_SQL}
+ORACLE: dict[str, str] = {"op4_suffix_dedup": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op8_quality_rules": OP8_SQL, "op9_decontamination": OP9_SQL}

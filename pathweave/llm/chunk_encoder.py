@@ -81,8 +81,8 @@ class ChunkEncoder:
         if not self.mode or any(x in text for x in self.special):
             return None
         if self.mode == "bytes":
-            # single blanks and line ends between words only
-            if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+            # single blanks and line ends between words, and no other white space
+            if text.split() != text.replace("\n", " ").split(" "):
                 return None
             return ("\r" + text.replace("\n", " \n")).split(" ")
         if any(x in text for x in _ODD_SEPARATORS):

@@ -230,7 +230,7 @@ _SAMPLE = pa.schema([("rank", pa.int64()), ("positive", pa.bool_()), ("features"
 _SAMPLE_DDL = "rank long, positive boolean, features binary, labels binary, allowed binary, length int"
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_windows: int = SAMPLE_WINDOWS) -> Crf:
+def fit(docs: DataFrame, text_col: str = "text", sample_windows: int = SAMPLE_WINDOWS) -> Crf:
     """A CRF fitted to windows of the table, labelled by the base patterns.
 
     Of all windows with a secret, and of all without, the ``sample_windows`` that come
@@ -251,7 +251,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
         if rows:
             yield batch_of(_SAMPLE, **dict(zip(_SAMPLE.names, map(list, zip(*rows)))))
 
-    windows = stored_table(texts_of(docs, id_col, text_col).mapInArrow(sample, _SAMPLE_DDL), "secret-windows")
+    windows = stored_table(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(sample, _SAMPLE_DDL), "secret-windows")
     taken = []
     for kind in (F.col("positive"), ~F.col("positive")):
         taken += windows.where(kind).orderBy("rank", "labels", "features").limit(sample_windows).collect()
@@ -333,7 +333,7 @@ def scan(docs: DataFrame, crf: Crf | None = None, id_col: str = "doc_id", text_c
     or empty text has no spans; a null id stays null; repeated rows give equal rows;
     other columns play no part; an empty table gives an empty result.
     """
-    model = docs.sparkSession.sparkContext.broadcast(crf or fit(docs, id_col, text_col))
+    model = docs.sparkSession.sparkContext.broadcast(crf or fit(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -351,7 +351,7 @@ def scan(docs: DataFrame, crf: Crf | None = None, id_col: str = "doc_id", text_c
 
 def mask(docs: DataFrame, crf: Crf | None = None, text_col: str = "text", sign: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of a text replaced by ``sign``; a null text stays null."""
-    model = docs.sparkSession.sparkContext.broadcast(crf or fit(docs, docs.columns[0], text_col))
+    model = docs.sparkSession.sparkContext.broadcast(crf or fit(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):

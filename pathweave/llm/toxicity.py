@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pathweave.llm.common import batch_of, slices, texts_of
 
 #: So many documents of either label are learned from, at most.
-SAMPLE_DOCS = 3000
+SAMPLE_DOCS = 2500
 #: Features in fewer toxic documents of the sample carry no weight.
 LEAST_DOCS = 3
 #: Lengths of the word beginnings that are features beside the words.
@@ -88,24 +89,27 @@ class ToxicityModel:
         more than ``chance_docs`` documents could do by chance."""
         if not texts or len(set(labels)) < 2:
             return cls({}, NO_BIAS)
-        documents = [[{f for w in set(words) for f in features(w)} for _, _, words in sentences(t)] for t in texts]
-        seen, guilty = Counter(), Counter()
-        for document, label in zip(documents, labels):
-            own = set().union(*document)
-            seen.update(own)
+        # texts are gone through several times, so that only numbers are held of them
+        guilty: Counter = Counter()
+        for text, label in zip(texts, labels):
             if label:
-                guilty.update(own)
+                guilty.update(_features_of(text))
+        seen = dict.fromkeys((f for f, c in guilty.items() if c >= LEAST_DOCS), 0)
+        for text in texts:
+            for f in _features_of(text) & seen.keys():
+                seen[f] += 1
         # what is not more frequent in toxic documents can't show that a sentence is
         even = sum(labels) / len(labels)
-        numbers = {f: n for n, f in enumerate(sorted(f for f, c in guilty.items() if c >= LEAST_DOCS and c > even * seen[f] and f))}
-        feature, sentence, owner = [], [], []
-        for d, document in enumerate(documents):
-            for own in document:
-                known = [numbers[f] for f in own if f in numbers]
+        numbers = {f: n for n, f in enumerate(sorted(f for f, c in seen.items() if guilty[f] > even * c))}
+        del guilty, seen
+        feature, sentence, owner = array("i"), array("i"), array("i")
+        for d, text in enumerate(texts):
+            for _, _, words in sentences(text):
+                known = [numbers[f] for f in {f for w in set(words) for f in features(w)} if f in numbers]
                 feature.extend(known)
                 sentence.extend([len(owner)] * len(known))
                 owner.append(d)
-        feature, sentence, owner = (np.array(x, dtype=np.int64) for x in (feature, sentence, owner))
+        feature, sentence, owner = (np.frombuffer(x, dtype=np.int32) if len(x) else np.zeros(0, dtype=np.int32) for x in (feature, sentence, owner))
         toxic = np.array(labels) == 1
         share = 1 / len(texts)
         least = chance_docs * share
@@ -142,6 +146,10 @@ class ToxicityModel:
         return min(max(-math.expm1(-total), 0.0), 1.0), offending
 
 
+def _features_of(text: str) -> set[str]:
+    return {f for w in {w for _, _, words in sentences(text) for w in words if w} for f in features(w)}
+
+
 def _calibrated(evidence: np.ndarray, owner: np.ndarray, toxic: np.ndarray, bias: float) -> float:
     """The bias, from the learned one down, whose decisions at the threshold have the
     best F1 on the sample; the middle of several that are equally good."""

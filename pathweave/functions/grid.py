@@ -25,8 +25,9 @@ def grid_origin(grid: Grid) -> tuple[Column, Column]:
 
 def cell_index(value: Column, origin: Column, cell_size: float) -> Column:
     """Cell number along one axis; the cast truncates toward zero, so a value
-    less than one cell below the origin still falls in cell 0."""
-    return ((value - origin) / F.lit(float(cell_size))).cast("int")
+    less than one cell below the origin still falls in cell 0. Null where there is no
+    such number."""
+    return ((value - origin) / F.lit(float(cell_size))).try_cast("int")
 
 
 def cell_label(cell_i: Column, cell_j: Column) -> Column:

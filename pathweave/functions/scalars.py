@@ -43,13 +43,3 @@ def match_class(metres: Column) -> Column:
         F.when(metres < 0.5, "same").when(metres < 1.0, "small dif").otherwise("big dif")
     )
 
-
-def layout_category(name: Column) -> Column:
-    """Report category of a layout from its display name."""
-    return (
-        F.when(name.contains("Base Parquet"), "Base Parquet")
-        .when(name.contains("CSV"), "CSV")
-        .when(name.contains("Fixed Segments"), "Fixed Segments")
-        .when(name.contains("Grid Segments"), "Grid Segments")
-        .otherwise("Other")
-    )

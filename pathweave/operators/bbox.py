@@ -34,13 +34,23 @@ def bbox_points(
 
 
 def segments_overlapping(segments: DataFrame, box: BBox) -> DataFrame:
-    """Coarse filter on the stored bounds alone."""
+    """Coarse filter on the stored bounds alone; parts carry those of the segment."""
     return segments.where(bounds_overlap_box(box))
 
 
 def segments_touching(segments: DataFrame, box: BBox) -> DataFrame:
-    """Whole segments with at least one stored point in the box."""
-    return segments.where(bounds_overlap_box(box) & any_point_in_box(box))
+    """Whole segments with at least one stored point in the box. Where segments have
+    several parts, a hit in one of them brings the others along; whether there are
+    such segments is asked first, which the column's statistics answer."""
+    near = segments.where(bounds_overlap_box(box))
+    hit = near.where(any_point_in_box(box))
+    if segments.where("part > 0").isEmpty():
+        return hit
+    return near.join(
+        hit.select("entity_id", "segment_id").distinct(),
+        ["entity_id", "segment_id"],
+        "left_semi",
+    )
 
 
 def refine_points(segments: DataFrame, box: BBox) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathweave.functions.distance import haversine, to_micro
-from pathweave.functions.scalars import layout_category, match_class
+from pathweave.functions.scalars import match_class
 
 
 def ranked(result: DataFrame) -> DataFrame:
@@ -37,16 +37,23 @@ def compare_knn(first: DataFrame, second: DataFrame) -> DataFrame:
     )
 
 
-def layout_parity(results: Mapping[str, DataFrame]) -> DataFrame:
+def layout_parity(
+    results: Mapping[str, DataFrame], categories: Mapping[str, str] | None = None
+) -> DataFrame:
     """Matches per layout against the first one:
-    ``category, layout, n_matches, diff, rel_diff`` (relative to the first)."""
+    ``category, layout, n_matches, diff, rel_diff`` (relative to the first). The
+    category of a result is looked up by its name; ``Other`` if it has none."""
+    known = categories or {}
     if not results:
         raise ValueError("no results to compare")
     counts = reduce(
         DataFrame.unionByName,
         [
             result.agg(F.count(F.lit(1)).alias("n_matches")).select(
-                F.lit(place).alias("_place"), F.lit(name).alias("layout"), "n_matches"
+                F.lit(place).alias("_place"),
+                F.lit(known.get(name, "Other")).alias("category"),
+                F.lit(name).alias("layout"),
+                "n_matches",
             )
             for place, (name, result) in enumerate(results.items())
         ],
@@ -59,7 +66,7 @@ def layout_parity(results: Mapping[str, DataFrame]) -> DataFrame:
     )
     diff = F.col("n_matches") - F.col("_reference")
     return counts.withColumn("_reference", reference).select(
-        layout_category(F.col("layout")).alias("category"),
+        "category",
         "layout",
         "n_matches",
         diff.alias("diff"),

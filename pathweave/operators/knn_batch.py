@@ -77,10 +77,9 @@ def build_pyramid(points: DataFrame, k: int, path: str | None = None) -> DataFra
             ]
         )
     )
-    finest.write.mode("overwrite").parquet(f"{path}/level={LEVELS[0]}")
-    stored = spark.read.parquet(f"{path}/level={LEVELS[0]}")
+    stored = stored_table(finest, "pyramid-base")
     coarser = F.explode(F.array(*[F.lit(level) for level in LEVELS[1:]]))
-    (
+    upper = (
         stored.select("*", coarser.alias("level"))
         .groupBy(
             "level",
@@ -88,11 +87,11 @@ def build_pyramid(points: DataFrame, k: int, path: str | None = None) -> DataFra
             F.expr(f"shiftright(cj, level - {LEVELS[0]})").alias("cj"),
         )
         .agg(*[F.bit_or(name).alias(name) for name in names])
-        .write.mode("append")
-        .partitionBy("level")
-        .parquet(path)
     )
-    return spark.read.parquet(path)
+    # one write for all levels: a pyramid that was there before goes as a whole
+    levels = stored.withColumn("level", F.lit(LEVELS[0])).unionByName(upper)
+    levels.write.mode("overwrite").partitionBy("level").parquet(path)
+    return spark.read.schema(levels.schema).parquet(path)
 
 
 def _cell_radius(level: int) -> float:
@@ -181,9 +180,9 @@ def knn_batch(
     """Exact k-NN per row ``query_id`` (unique), ``lat, lon`` of ``queries``:
     ``query_id, rank, traj_id, lat, lon, distance``.
 
-    Repeated positions fold before the shuffle and the rank limit applies on the
-    map side first, so neither a crowded position nor a crowded query gathers in
-    one task. A stored ``pyramid`` of the same points saves building one.
+    Points outside all cells in play drop out first; of the rest repeated positions
+    fold, on the map side too, before they meet any query. A stored ``pyramid`` of
+    the same points saves building one.
     """
     if pyramid is None:
         pyramid = build_pyramid(points, k)
@@ -191,19 +190,19 @@ def knn_batch(
     rows = _located(points.select("traj_id", "lat", "lon")).withColumnsRenamed(
         {"_ci": "ci", "_cj": "cj"}
     )
+    occupied = cells.select("ci", "cj").distinct()
+    positions = (
+        rows.join(occupied, ["ci", "cj"], "left_semi")
+        .groupBy("ci", "cj", "lat", "lon")
+        .agg(F.min("traj_id").alias("traj_id"))
+    )
     metres = haversine(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon"))
     best = Window.partitionBy("query_id").orderBy("_metres", "lat", "lon")
     return (
-        rows.join(cells.drop("_glat", "_glon"), ["ci", "cj"])
+        positions.join(cells.drop("_glat", "_glon"), ["ci", "cj"])
         .withColumn("distance", metres)
         .withColumn("_metres", to_micro(F.col("distance")))
         .where(F.col("_metres") <= F.col("_bound"))
-        .groupBy("query_id", "lat", "lon")
-        .agg(
-            F.min("traj_id").alias("traj_id"),
-            F.first("distance").alias("distance"),
-            F.first("_metres").alias("_metres"),
-        )
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "traj_id", "lat", "lon", "distance")

@@ -3,87 +3,91 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathweave.session import stored_table
+
 # A trajectory with more points is numbered piecewise instead of in one task.
 HOT_POINTS = 5_000_000
 
 
+def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
+    """Equal in all columns, nulls included; the right side has a prefix ``_r``."""
+    return reduce(
+        lambda a, b: a & b, [left[c].eqNullSafe(right[f"_r{c}"]) for c in columns]
+    )
+
+
 def dense_position(
     df: DataFrame,
     key: Sequence[str],
     order: Sequence[str],
-    chunk: Sequence[Column],
     name: str = "seq",
     hot_points: int = HOT_POINTS,
 ) -> DataFrame:
-    """Add ``name``: 0, 1, 2, ... per ``key`` in ``order``.
+    """Add ``name``: 0, 1, 2, ... per ``key`` in ``order`` (nulls first).
 
-    A plain window would sort the largest trajectory in one task. Keys with more
-    than ``hot_points`` rows are therefore cut by the ``chunk`` expressions,
-    which must not decrease along ``order``; each chunk is numbered on its own
-    and shifted by the row count of the chunks before it. Keys below the limit
-    form one chunk. Rows are shuffled once in either case. The table of hot keys
-    has at most (rows / ``hot_points``) rows, which is why it may be broadcast;
-    the chunk offsets are joined on the partitioning the numbering already has.
+    A plain window would sort the largest trajectory in one task. So a first job
+    counts the rows of each key; those of keys with more than ``hot_points`` are
+    range-partitioned by key and order, stored, and numbered by their place in the
+    partition plus the rows of the same key in the partitions before it. What is
+    summed up per key is one row for each partition it fills.
     """
     key, order = list(key), list(order)
-    chunk_names = [f"_chunk{n}" for n in range(len(chunk))]
     hot = (
         df.groupBy(*key)
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > hot_points)
-        .select(*key, F.lit(True).alias("_hot"))
+        .select(*[F.col(c).alias(f"_r{c}") for c in key])
     )
-    cut = df.join(F.broadcast(hot), key, "left").select(
-        *df.columns,
-        "_hot",
-        *[
-            F.when(F.col("_hot"), expr).alias(column)
-            for expr, column in zip(chunk, chunk_names)
-        ],
+    within = Window.partitionBy(*key).orderBy(*order)
+    position = (F.row_number().over(within) - 1).cast("long").alias(name)
+    if hot.isEmpty():
+        return df.select(*df.columns, position)
+    hot = stored_table(hot, "hot-keys")
+    is_hot = _same(df, hot, key)
+    cold = df.join(hot, is_hot, "left_anti").select(*df.columns, position)
+    ranged = (
+        df.join(hot, is_hot, "left_semi")
+        .repartitionByRange(*key, *order)
+        .sortWithinPartitions(*key, *order)
+        .withColumn("_at", F.monotonically_increasing_id())
+    )
+    placed = stored_table(ranged, "hot-rows").withColumn("_piece", F.shiftright("_at", 33))
+    pieces = placed.groupBy(*key, "_piece").agg(
+        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
     earlier = (
         Window.partitionBy(*key)
-        .orderBy(*chunk_names)
+        .orderBy("_piece")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = (
-        cut.where(F.col("_hot"))
-        .groupBy(*key, *chunk_names)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            *[F.col(c).alias(f"_o{c}") for c in key + chunk_names],
-            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
-        )
+    shifts = pieces.select(
+        *[F.col(c).alias(f"_r{c}") for c in [*key, "_piece"]],
+        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
-    within = Window.partitionBy(*key, *chunk_names).orderBy(*order)
-    numbered = cut.withColumn("_row", F.row_number().over(within) - 1)
-    matches = [F.col(c) == F.col(f"_o{c}") for c in key + chunk_names]
-    return numbered.join(offsets, matches, "left").select(
-        *df.columns,
-        (F.col("_row") + F.coalesce("_offset", F.lit(0))).cast("long").alias(name),
+    numbered = placed.join(shifts, _same(placed, shifts, [*key, "_piece"])).select(
+        *df.columns, (F.col("_at") + F.col("_shift")).cast("long").alias(name)
     )
+    return cold.unionByName(numbered)
 
 
 def renumber(
     points: DataFrame,
     key: Sequence[str] = ("user_id", "traj_id"),
-    chunk_points: int = 1_000_000,
     hot_points: int = HOT_POINTS,
 ) -> DataFrame:
     """Close gaps in ``seq`` (zero-based, unique per ``key``)."""
     source = points.withColumnRenamed("seq", "_seq")
-    chunk = [F.expr(f"_seq div {int(chunk_points)}")]
-    out = dense_position(source, key, ["_seq"], chunk, "seq", hot_points)
+    out = dense_position(source, key, ["_seq"], "seq", hot_points)
     return out.select(*points.columns)
 
 
 def merge_users(
     points: DataFrame,
-    chunk_points: int = 1_000_000,
     hot_points: int = HOT_POINTS,
 ) -> DataFrame:
     """One trajectory per ``traj_id``, whoever recorded it.
@@ -93,8 +97,5 @@ def merge_users(
     (``user_id``, ``traj_id``).
     """
     source = points.withColumnRenamed("seq", "_seq")
-    chunk = [F.col("user_id"), F.expr(f"_seq div {int(chunk_points)}")]
-    out = dense_position(
-        source, ["traj_id"], ["user_id", "_seq"], chunk, "seq", hot_points
-    )
+    out = dense_position(source, ["traj_id"], ["user_id", "_seq"], "seq", hot_points)
     return out.select(*points.columns)

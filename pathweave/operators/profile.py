@@ -29,9 +29,14 @@ def file_profile(layout: DataFrame) -> DataFrame:
     )
 
 
-def layout_profile(spark: SparkSession, layouts: Mapping[str, DataFrame]) -> DataFrame:
-    """Size of each layout next to the smallest one. The rows of a segment
-    layout are segments. Without layouts the report is empty."""
+def layout_profile(
+    spark: SparkSession, layouts: Mapping[str, DataFrame], by: str = "size_bytes"
+) -> DataFrame:
+    """Size of each layout next to the smallest one, by bytes or by ``rows``. The rows
+    of a segment layout are segments (or parts of them). Without layouts the report
+    is empty."""
+    if by not in ("size_bytes", "rows"):
+        raise ValueError(f"unknown measure: {by!r}")
     if not layouts:
         return spark.createDataFrame([], PROFILE_SCHEMA)
     sizes = reduce(
@@ -48,14 +53,14 @@ def layout_profile(spark: SparkSession, layouts: Mapping[str, DataFrame]) -> Dat
         ],
     )
     # one row per layout: an unpartitioned window is fine
-    smallest = F.min("size_bytes").over(Window.partitionBy())
+    smallest = F.min(by).over(Window.partitionBy())
     return sizes.withColumn("_smallest", smallest).select(
         "name",
         "rows",
         "n_files",
         "size_bytes",
-        percent_above(F.col("size_bytes"), F.col("_smallest")).alias(
+        percent_above(F.col(by), F.col("_smallest")).alias(
             "percent_above_smallest"
         ),
-        F.dense_rank().over(Window.orderBy("size_bytes")).alias("size_rank"),
+        F.dense_rank().over(Window.orderBy(by)).alias("size_rank"),
     )

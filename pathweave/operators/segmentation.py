@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from pathweave.functions.grid import Grid
 from pathweave.operators.extent import with_cells
+from pathweave.session import stored_table
 
 FIXED_SEGMENT_POINTS = 100
 CELL_SIZE = 0.001
-# A grid segment with more points is stored as several rows (``part``).
+# A segment with more points is stored as several rows (``part``), each of which
+# carries the bounds of the whole segment.
 PART_POINTS = 100_000
-# One row holds one segment, so its size must stay far below a task's memory.
-MAX_SEGMENT_POINTS = 1_000_000
+_BOUNDS = ("min_x", "max_x", "min_y", "max_y", "min_t", "max_t")
 
 
 def _entity(key: Sequence[str]) -> Column:
@@ -63,25 +64,49 @@ def _segment_columns() -> list[Column]:
     ]
 
 
-def finish_segments(members: DataFrame) -> DataFrame:
-    """SEGMENTS rows of flat members (see :func:`build_segments`)."""
-    return build_segments(members).select(*_segment_columns())
+def with_segment_bounds(rows: DataFrame) -> DataFrame:
+    """Give every part of a segment the bounds of all its parts.
+
+    Writes ``rows`` once; only segments of several parts are looked at, by one small
+    row each.
+    """
+    stored = stored_table(rows, "segment-parts")
+    whole = (
+        stored.groupBy("entity_id", "segment_id")
+        .agg(
+            F.max("part").alias("_parts"),
+            *[getattr(F, c[:3])(c).alias(f"_{c}") for c in _BOUNDS],
+        )
+        .where("_parts > 0")
+        .drop("_parts")
+    )
+    joined = stored.join(whole, ["entity_id", "segment_id"], "left")
+    return joined.withColumns({c: F.coalesce(f"_{c}", c) for c in _BOUNDS}).select(
+        *rows.columns
+    )
+
+
+def _longer_than(points: DataFrame, key: Sequence[str], limit: int) -> bool:
+    """Whether any trajectory has more points; reads the key columns alone."""
+    counts = points.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    return not counts.where(F.col("_n") > limit).isEmpty()
 
 
 def fixed_members(
     points: DataFrame,
     max_segment_size: int = FIXED_SEGMENT_POINTS,
     key: Sequence[str] = ("traj_id",),
+    part_points: int = PART_POINTS,
 ) -> DataFrame:
     """One row per stored point of the fixed-size segments.
 
     The block of a point follows from ``seq`` alone, so no window is needed and a
     huge trajectory spreads over all tasks. The last point of a block also goes
-    to the next block (``pos`` -1 there).
+    to the next block (``pos`` -1 there). ``part`` counts pieces of ``part_points``.
     """
     size = int(max_segment_size)
-    if not 1 <= size <= MAX_SEGMENT_POINTS:
-        raise ValueError(f"segment size must lie in 1..{MAX_SEGMENT_POINTS}: {size}")
+    if size < 1:
+        raise ValueError(f"segment size must be positive: {size}")
     block, offset = F.expr(f"seq div {size}"), F.expr(f"seq % {size}")
     homes = F.when(
         offset == size - 1,
@@ -90,27 +115,26 @@ def fixed_members(
             F.struct((block + 1).alias("segment_id"), F.lit(-1).cast("long").alias("pos")),
         ),
     ).otherwise(F.array(F.struct(block.alias("segment_id"), offset.alias("pos"))))
-    return points.select(
-        _entity(key).alias("entity_id"),
-        F.inline(homes),
-        F.lit(0).cast("long").alias("part"),
-        "lat",
-        "lon",
-        "timestamp",
+    flat = points.select(
+        _entity(key).alias("entity_id"), F.inline(homes), "lat", "lon", "timestamp"
     )
+    part = F.greatest(F.expr(f"pos div {int(part_points)}"), F.lit(0)).cast("long")
+    return flat.withColumn("part", part)
 
 
 def fixed_segments(
     points: DataFrame,
     max_segment_size: int = FIXED_SEGMENT_POINTS,
     key: Sequence[str] = ("traj_id",),
+    part_points: int = PART_POINTS,
 ) -> DataFrame:
-    """Segments of ``max_segment_size`` points, plus the carried-over one."""
-    grouped = build_segments(
-        fixed_members(points, max_segment_size, key), F.max("pos").alias("_last")
-    )
+    """Segments of ``max_segment_size`` points, plus the carried-over one; rows as
+    for :func:`grid_segments`."""
+    members = fixed_members(points, max_segment_size, key, part_points)
+    grouped = build_segments(members, F.max("pos").alias("_last"))
     # a block that received only a carried-over point does not exist
-    return grouped.where(F.col("_last") >= 0).select(*_segment_columns())
+    rows = grouped.where(F.col("_last") >= 0).select(*_segment_columns())
+    return with_segment_bounds(rows) if max_segment_size > part_points else rows
 
 
 def grid_members(
@@ -235,20 +259,27 @@ def grid_segments(
 
     A segment is one row unless it holds more than ``part_points`` points (an
     entity that does not move): then it continues in rows ``part`` = 1, 2, ...
-    of the same ``segment_id``, each with the bounds of its own points.
+    of the same ``segment_id``, each with the bounds of the whole segment. A first
+    job finds out whether any trajectory is long enough for that.
     """
-    return finish_segments(grid_members(points, grid, cell_size, key, part_points))
+    members = grid_members(points, grid, cell_size, key, part_points)
+    rows = build_segments(members).select(*_segment_columns())
+    several = _longer_than(points, key, part_points)
+    return with_segment_bounds(rows) if several else rows
 
 
 def recompute_bounds(segments: DataFrame) -> DataFrame:
-    """Replace the stored bounds by those of the stored arrays."""
-    return segments.withColumns(
+    """Replace the stored bounds by those of the stored arrays, over all parts."""
+    own = segments.withColumns(
         {
             f"{edge}_{axis}": getattr(F, f"array_{edge}")(f"vals_{axis}")
             for axis in ("x", "y", "t")
             for edge in ("min", "max")
         }
     )
+    if segments.where("part > 0").isEmpty():
+        return own
+    return with_segment_bounds(own)
 
 
 def flatten_segments(segments: DataFrame) -> DataFrame:

@@ -23,6 +23,14 @@ def trajectory_boxes(points: DataFrame, key: Sequence[str] = ("traj_id",)) -> Da
     )
 
 
+def regroup(parts: DataFrame, key: Sequence[str] = ("traj_id",)) -> DataFrame:
+    """The rows of :func:`assemble` as one row per trajectory, for trajectories that
+    are known to fit into one task."""
+    part = F.struct("part", "points")
+    whole = F.array_sort(F.collect_list(part))
+    return parts.groupBy(*key).agg(F.flatten(whole["points"]).alias("points"))
+
+
 def assemble(
     points: DataFrame, key: Sequence[str] = ("traj_id",), part_points: int = 100_000
 ) -> DataFrame:

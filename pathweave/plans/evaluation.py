@@ -14,26 +14,39 @@ from pathweave.operators.knn import (
     knn_grid_index,
     knn_points,
 )
+from pathweave.plans.layouts import CATEGORY
 from pathweave.schemas import BBox
 
 
+# strategies of the box query: result name, layout asked, coarse filter of segments
+BOX_STRATEGIES = (
+    ("Base Parquet", "Base Parquet", None),
+    ("CSV", "CSV", None),
+    ("GeoParquet", "GeoParquet", None),
+    ("GeoParquet (small groups)", "GeoParquet (small groups)", None),
+    ("Fixed Segments (bounds)", "Fixed Segments", "bounds"),
+    ("Fixed Segments (points)", "Fixed Segments", "points"),
+    ("Grid Segments (bounds)", "Grid Segments", "bounds"),
+    ("Grid Segments (points)", "Grid Segments", "points"),
+)
+CATEGORIES = {name: CATEGORY[layout] for name, layout, _ in BOX_STRATEGIES}
+
+
 def bbox_results(layouts: dict[str, DataFrame], box: BBox) -> dict[str, DataFrame]:
     """Box query per layout and strategy, for the layouts given (by the names of
     :func:`pathweave.plans.layouts.open_layouts`); others are skipped."""
-    out: dict[str, DataFrame] = {}
-    for name in ("Base Parquet", "CSV", "GeoParquet", "GeoParquet (small groups)"):
-        if name in layouts:
-            out[name] = bbox_points(layouts[name], box)
-    for name in ("Fixed Segments", "Grid Segments"):
-        if name in layouts:
-            for coarse in ("bounds", "points"):
-                out[f"{name} ({coarse})"] = bbox_segments(layouts[name], box, coarse)
-    return out
+    return {
+        name: bbox_points(layouts[layout], box)
+        if coarse is None
+        else bbox_segments(layouts[layout], box, coarse)
+        for name, layout, coarse in BOX_STRATEGIES
+        if layout in layouts
+    }
 
 
 def bbox_report(layouts: dict[str, DataFrame], box: BBox) -> DataFrame:
     """Matches per layout, grouped by category."""
-    return layout_parity(bbox_results(layouts, box)).orderBy(
+    return layout_parity(bbox_results(layouts, box), CATEGORIES).orderBy(
         F.col("category"), F.col("layout")
     )
 

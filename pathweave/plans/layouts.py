@@ -47,13 +47,33 @@ DISPLAY_NAMES = (
     GEO,
     GEO_SMALL_GROUPS,
 )
+# the category under which reports list a layout
+CATEGORY = {
+    POINTS: POINTS,
+    CSV: CSV,
+    FIXED: FIXED,
+    FIXED_INDEX: FIXED,
+    GRID: GRID,
+    GRID_INDEX: GRID,
+    GEO: "Other",
+    GEO_SMALL_GROUPS: "Other",
+}
 
 
 @dataclass(frozen=True)
 class Layouts:
-    """Where the layouts of one data set live below ``root``."""
+    """Where the layouts of one data set live below ``root``. What a layout was cut
+    with is part of its folder's name, so a build with other parameters never takes
+    it for its own."""
 
     root: str
+    max_segment_size: int = FIXED_SEGMENT_POINTS
+    cell_size: float = CELL_SIZE
+    key: tuple[str, ...] = ("traj_id",)
+
+    @property
+    def _by(self) -> str:
+        return "by_" + "_".join(self.key)
 
     def at(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
@@ -68,19 +88,19 @@ class Layouts:
 
     @property
     def fixed(self) -> str:
-        return self.at("segments_fixed")
+        return self.at(f"segments_fixed-{self.max_segment_size}-{self._by}")
 
     @property
     def fixed_index(self) -> str:
-        return self.at("segments_fixed_knn")
+        return self.at(f"segments_fixed_knn-{self.max_segment_size}-{self._by}")
 
     @property
     def grid(self) -> str:
-        return self.at("segments_grid")
+        return self.at(f"segments_grid-{self.cell_size!r}-{self._by}")
 
     @property
     def grid_index(self) -> str:
-        return self.at("segments_grid_knn")
+        return self.at(f"segments_grid_knn-{self.cell_size!r}-{self._by}")
 
     @property
     def geo(self) -> str:
@@ -110,9 +130,10 @@ def build_layouts(
     """Write what is missing below ``root``; each step reads the stored result of
     the one before it, so a lost executor never repeats the whole chain. What an
     aborted run left unfinished is written anew. ``names`` limits the work to some
-    layouts (by display name) and those they are computed from.
+    layouts (by display name) and those they are computed from. The points of one
+    ``root`` are those of the first build: other points need another ``root``.
     """
-    out = Layouts(root)
+    out = Layouts(root, int(max_segment_size), float(cell_size), tuple(key))
     wanted = set(DISPLAY_NAMES if names is None else names)
     unknown = wanted - set(DISPLAY_NAMES)
     if unknown:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathweave.functions.arrays import decode_doubles, encode_doubles
@@ -16,7 +16,6 @@ from pathweave.functions.distance import to_micro
 from pathweave.functions.grid import ring_cells
 from pathweave.functions.predicates import bounds_contain_point
 from pathweave.functions.scalars import iso_text
-from pathweave.functions.wkb import point_geometry
 from pathweave.operators import bbox, knn, segmentation, trajectories
 from pathweave.operators.bbox_batch import bbox_batch
 from pathweave.operators.compare import compare_knn, layout_parity
@@ -24,7 +23,8 @@ from pathweave.operators.extent import point_extent, segment_extent, with_cells
 from pathweave.operators.index import fixed_index, grid_index
 from pathweave.operators.knn_batch import knn_batch
 from pathweave.operators.profile import layout_profile
-from pathweave.plans.evaluation import bbox_results
+from pathweave.operators.ordering import renumber
+from pathweave.plans.evaluation import CATEGORIES, bbox_report, bbox_results
 from pathweave.plans.stored import stored_layout, stored_layouts
 from pathweave.plans.table_views import (
     LINEITEM_ORDER,
@@ -35,13 +35,17 @@ from pathweave.plans.table_views import (
     lineitem_rows,
     supplier_queries,
 )
-from pathweave.schemas import BBox
+from pathweave.schemas import SEGMENTS, BBox
+from pathweave.session import shared_folder, stored_table
 from pathweave.sources.geoparquet import without_geometry
+from pathweave.sources.raw_logs import is_complete, parse_lines
+from pathweave.sources.results import append_run, read_runs
 from pathweave.sources.segments import scan_segments
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 BOX = BBox(40.0, 40.005, 116.312, 116.3145)
+HALF_BOX = BBox(40.0, 40.0025, 116.312, 116.3145)
 OUTSIDE_BOX = BBox(39.9840, 39.9850, 116.3160, 116.3185)
 POINT = (40.0035, 116.3133)
 # off every symmetry line of the view, so arc-cosine noise cannot reorder rows
@@ -257,6 +261,77 @@ def points_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineitem_points(spark, sf_dir)
 
 
+@query(
+    "points_view_hot",
+    with_(ROWS, 'SELECT traj_id, seq, lat, lon, altitude, "timestamp" FROM pts'),
+)
+def points_view_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every trajectory numbered as one too long for a task."""
+    return lineitem_points(spark, sf_dir, hot_points=50)
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view as lines of raw logs, one log per trajectory, with blank, malformed
+    and infinite lines in between: ``path, line_no, line``."""
+    points = lineitem_points(spark, sf_dir)
+    path = F.concat(F.lit("/logs/007/Trajectory/"), F.col("traj_id"), F.lit(".plt"))
+    line = F.concat_ws(
+        ",",
+        *[F.col(c).cast("string") for c in ("lat", "lon")],
+        F.lit("0"),
+        F.col("altitude").cast("string"),
+        F.lit("39757.5"),
+        F.date_format("timestamp", "yyyy-MM-dd"),
+        F.date_format("timestamp", "HH:mm:ss"),
+    )
+    noise = F.when(F.col("seq") % 7 == 3, F.lit("39.9,oops")).when(
+        F.col("seq") % 7 == 5, F.lit("NaN,116.3,0,1,1,2008-11-26,12:00:00")
+    ).otherwise(F.lit(" "))
+    both = F.array(
+        F.struct((F.col("seq") * 2 + 6).alias("line_no"), line.alias("line")),
+        F.struct((F.col("seq") * 2 + 7).alias("line_no"), noise.alias("line")),
+    )
+    logged = points.select(path.alias("path"), F.inline(both))
+    first_lines = F.array(*[F.lit(n).cast("long") for n in range(6)])
+    header = points.select(path.alias("path")).distinct().select(
+        "path", F.explode(first_lines).alias("line_no")
+    )
+    return logged.unionByName(header.withColumn("line", F.lit("header")))
+
+
+def logged_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = parse_lines(log_lines(spark, sf_dir)).where(is_complete())
+    return renumber(parsed.drop("path", "line_no", "line"))
+
+
+@query(
+    "raw_logs_roundtrip",
+    with_(
+        ROWS,
+        "SELECT '007' AS user_id, traj_id, seq, lat, lon, altitude, \"timestamp\" FROM pts",
+    ),
+)
+def raw_logs_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logged_points(spark, sf_dir)
+
+
+@query("raw_logs_fixed_segments", with_(FIXED, MEMBER_ROWS))
+def raw_logs_fixed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return members(segmentation.fixed_segments(logged_points(spark, sf_dir)))
+
+
+@query(
+    "raw_logs_malformed",
+    with_(
+        ROWS,
+        "SELECT traj_id, 2 * seq + 7 AS line_no FROM pts WHERE seq % 7 IN (3, 5)",
+    ),
+)
+def raw_logs_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = parse_lines(log_lines(spark, sf_dir)).where(~is_complete())
+    return parsed.select("traj_id", "line_no")
+
+
 @query(
     "trajectory_length",
     with_(ROWS, "SELECT traj_id, count(*) AS n_points FROM pts GROUP BY traj_id"),
@@ -434,18 +509,26 @@ def bbox_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     "geo_geometry",
     with_(
         ROWS,
-        "SELECT traj_id, seq, lat, lon, true AS is_point, 21 AS n_bytes FROM pts",
+        "SELECT traj_id, seq, lon AS x, lat AS y, '0101000000' AS head, 21 AS n_bytes"
+        " FROM pts",
     ),
 )
 def geo_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stored geometry is the little-endian point of its coordinates."""
+    """The coordinates of every stored geometry, taken from its bytes by arithmetic."""
     points = stored_layout(spark, sf_dir, "GeoParquet (small groups)")
+
+    def double_at(place: int) -> Column:
+        own = [F.substring(F.hex("geometry"), 2 * (place + k) + 1, 2) for k in range(7, -1, -1)]
+        bits = F.conv(F.concat(*own), 16, 10).cast("long")
+        power = F.shiftright(bits, 52) - 1023
+        return (1 + bits.bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(2.0**52)) * F.pow(F.lit(2.0), power)
+
     return points.select(
         "traj_id",
         "seq",
-        "lat",
-        "lon",
-        (F.col("geometry") == point_geometry("lon", "lat")).alias("is_point"),
+        double_at(5).alias("x"),
+        double_at(13).alias("y"),
+        F.substring(F.hex("geometry"), 1, 10).alias("head"),
         F.length("geometry").alias("n_bytes"),
     )
 
@@ -536,6 +619,68 @@ def segment_mbr_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_rows(scan_segments(segments, BOX, None))
 
 
+def whole_segments(parts: DataFrame) -> DataFrame:
+    """One row a segment: bounds as stored in its first part, points of all parts."""
+    bounds = [c for c in SEGMENTS.fieldNames() if c[:4] in ("min_", "max_")]
+    return parts.groupBy("entity_id", "segment_id").agg(
+        F.sum(F.size("vals_x")).alias("n_points"),
+        *[F.min(F.when(F.col("part") == 0, F.col(c))).alias(c) for c in bounds],
+    )
+
+
+def view_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grid segments in parts of four points."""
+    points = lineitem_points(spark, sf_dir)
+    return segmentation.grid_segments(points, view_grid(spark, sf_dir), CELL, part_points=4)
+
+
+@query(
+    "segment_mbr_overlap_parts",
+    with_(GRID_ALL, BOUNDS, SEGMENT_ROWS + f" WHERE {overlap_sql(BOX)}"),
+)
+def segment_mbr_overlap_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whole_segments(bbox.segments_overlapping(view_parts(spark, sf_dir), BOX))
+
+
+@query(
+    "segment_any_point_parts",
+    with_(
+        GRID_ALL,
+        BOUNDS,
+        SEGMENT_ROWS
+        + " WHERE (entity_id, segment_id) IN (SELECT (entity_id, segment_id)"
+        + f" FROM members WHERE {in_box_sql(BOX)})",
+    ),
+)
+def segment_any_point_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = stored_table(view_parts(spark, sf_dir), "segment-parts")
+    return whole_segments(bbox.segments_touching(parts, BOX))
+
+
+@query("segment_scan_refine", with_(GRID_ALL, refined_sql(BOX)))
+def segment_scan_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default scan feeds the refining step."""
+    segments = stored_layout(spark, sf_dir, "Grid Segments")
+    return bbox.refine_points(scan_segments(segments, BOX), BOX)
+
+
+@query(
+    "results_roundtrip",
+    with_(
+        GRID_ALL,
+        "found AS (SELECT * FROM (" + refined_sql(BOX) + "))",
+        "SELECT *, CAST(1 AS INTEGER) AS run_id, 'grid_segments_points' AS method FROM found",
+    ),
+)
+def results_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of two kinds in one folder, read back as tables of their own."""
+    points = bbox.bbox_points(lineitem_points(spark, sf_dir), BOX)
+    refined = bbox.bbox_segments(stored_layout(spark, sf_dir, "Grid Segments"), BOX)
+    root = shared_folder(spark, "results")
+    append_run({"Base Parquet": points, "Grid Segments (points)": refined}, root)
+    return read_runs(spark, root, refined)
+
+
 @query(
     "segment_mbr_contains",
     with_(
@@ -945,13 +1090,79 @@ found AS (SELECT count(*) AS n FROM (
     ),
 )
 def parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout_parity(bbox_results(stored_layouts(spark, sf_dir), BOX))
+    return layout_parity(bbox_results(stored_layouts(spark, sf_dir), BOX), CATEGORIES)
+
+
+@query(
+    "bbox_report",
+    with_(
+        ROWS,
+        f"""
+found AS (SELECT count(*) AS n FROM (
+  SELECT DISTINCT traj_id, lat, lon FROM pts WHERE {in_box_sql(BOX)}))""",
+        "SELECT category, layout, n AS n_matches, CAST(0 AS BIGINT) AS diff,"
+        " 0e0 AS rel_diff FROM found, (VALUES "
+        + ", ".join(f"('{category}', '{name}')" for category, name in PARITY_NAMES)
+        + ") names(category, layout) ORDER BY category, layout",
+    ),
+)
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bbox_report(stored_layouts(spark, sf_dir), BOX)
+
+
+@query(
+    "layout_parity_differs",
+    with_(
+        ROWS,
+        f"""
+counts AS (SELECT
+  (SELECT count(*) FROM (SELECT DISTINCT traj_id, lat, lon FROM pts
+                         WHERE {in_box_sql(BOX)})) AS a,
+  (SELECT count(*) FROM (SELECT DISTINCT traj_id, lat, lon FROM pts
+                         WHERE {in_box_sql(HALF_BOX)})) AS b)""",
+        "SELECT 'Other' AS category, 'whole' AS layout, a AS n_matches,"
+        " CAST(0 AS BIGINT) AS diff, 0e0 AS rel_diff FROM counts UNION ALL"
+        " SELECT 'Other', 'half', b, b - a, (b - a) / CAST(a AS DOUBLE) FROM counts",
+    ),
+)
+def parity_differs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = lineitem_points(spark, sf_dir)
+    boxes = {"whole": BOX, "half": HALF_BOX}
+    return layout_parity({n: bbox.bbox_points(points, b) for n, b in boxes.items()})
+
+
+def counted_sql(name: str, segments: str) -> str:
+    inner = with_(segments, "SELECT count(*) FROM (SELECT DISTINCT entity_id, segment_id FROM members)")
+    return f"{name} AS (SELECT n FROM ({inner}) c(n))"
+
+
+PROFILE_SQL = with_(
+    ROWS,
+    "points AS (SELECT count(*) AS n FROM pts)",
+    counted_sql("fixed", FIXED),
+    counted_sql("grid", GRID_ALL),
+    """
+sizes AS (
+  SELECT unnest(['Base Parquet', 'CSV', 'GeoParquet', 'GeoParquet (small groups)']) AS name,
+         n AS "rows" FROM points
+  UNION ALL SELECT unnest(['Fixed Segments', 'Fixed Segments (index)']), n FROM fixed
+  UNION ALL SELECT unnest(['Grid Segments', 'Grid Segments (index)']), n FROM grid)""",
+    f"""
+SELECT name, "rows",
+       {micro_sql('100e0 * ("rows" - min("rows") OVER ()) / min("rows") OVER ()')} AS percent,
+       CAST(dense_rank() OVER (ORDER BY "rows") AS INTEGER) AS size_rank
+FROM sizes""",
+)
 
 
-@query("layout_profile")
+@query(
+    "layout_profile",
+    PROFILE_SQL,
+)
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File sizes depend on the writer, so there is no SQL twin."""
-    return layout_profile(spark, stored_layouts(spark, sf_dir))
+    """Rows of every layout, compared by rows: bytes depend on the writer."""
+    found = layout_profile(spark, stored_layouts(spark, sf_dir), by="rows")
+    return found.select("name", "rows", to_micro(F.col("percent_above_smallest")).alias("percent"), "size_rank")
 
 
 @query(

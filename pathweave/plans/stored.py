@@ -3,26 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pathweave.plans.layouts import DISPLAY_NAMES, build_layouts, open_layouts
 from pathweave.plans.table_views import lineitem_points
-
-_local_roots: dict[str, str] = {}
-
+from pathweave.session import shared_root
 
 def _root(spark: SparkSession, sf_dir: str) -> str:
     app = spark.sparkContext.applicationId
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        # one machine: any folder of its own will do
-        if app not in _local_roots:
-            _local_roots[app] = tempfile.mkdtemp(prefix="pathweave-")
-        shared = _local_roots[app]
     tables = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
-    return f"{shared.rstrip('/')}/pathweave-{app}/{tables}"
+    return f"{shared_root(spark)}/pathweave-{app}/{tables}"
 
 
 def stored_layouts(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.operators.ordering import dense_position
+from pathweave.operators.ordering import HOT_POINTS, dense_position
 
 # orders the rows of one supplier; unique within it
 LINEITEM_ORDER = (
@@ -37,11 +37,12 @@ def lineitem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lineitem_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lineitem_points(
+    spark: SparkSession, sf_dir: str, hot_points: int = HOT_POINTS
+) -> DataFrame:
     """``traj_id, seq, lat, lon, altitude, timestamp``."""
     rows = lineitem_rows(spark, sf_dir)
-    chunk = [F.col("timestamp"), F.expr("l_orderkey div 1000000")]
-    return dense_position(rows, ["traj_id"], LINEITEM_ORDER, chunk).select(
+    return dense_position(rows, ["traj_id"], LINEITEM_ORDER, hot_points=hot_points).select(
         "traj_id", "seq", "lat", "lon", "altitude", "timestamp"
     )
 
@@ -60,10 +61,7 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``traj_id, seq, lat, lon, altitude, timestamp``, ordered by time."""
     order = ["timestamp", "event_id"]
-    chunk = [F.expr("date_trunc('MINUTE', timestamp)")]
-    return dense_position(
-        event_rows(spark, sf_dir), ["traj_id"], order, chunk
-    ).select("traj_id", "seq", "lat", "lon", "altitude", "timestamp")
+    return dense_position(event_rows(spark, sf_dir), ["traj_id"], order).select("traj_id", "seq", "lat", "lon", "altitude", "timestamp")
 
 
 def customer_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,6 +16,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_local_roots: dict[str, str] = {}
+
 
 def with_defaults(builder: SparkSession.Builder) -> SparkSession.Builder:
     for key, value in DEFAULTS.items():
@@ -25,13 +28,28 @@ def with_defaults(builder: SparkSession.Builder) -> SparkSession.Builder:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder the cluster shares (``spark.checkpoint.dir``).
 
-    A session without that setting is a single machine, where a temporary folder
-    is shared by all there is.
+    Without that setting the folder of ``setCheckpointDir`` is taken, and without
+    either a temporary one, if the session runs on this machine alone; a cluster
+    must name a folder that all its machines see.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder for intermediate tables, without a slash at the end."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root is None:
-        root = tempfile.mkdtemp(prefix="pathweave-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError(
+                "set spark.checkpoint.dir to a folder that driver and executors share"
+            )
+        app = context.applicationId
+        if app not in _local_roots:
+            # one machine: any folder of its own will do
+            _local_roots[app] = tempfile.mkdtemp(prefix="pathweave-")
+        root = _local_roots[app]
+    return root.rstrip("/")
 
 
 def stored_table(df: DataFrame, name: str) -> DataFrame:

@@ -39,20 +39,30 @@ def scan_points(points: DataFrame, box: BBox) -> DataFrame:
     return points.where(point_in_box(box))
 
 
-def read_foreign_points(spark: SparkSession, path: str) -> DataFrame:
+def read_foreign_points(
+    spark: SparkSession, path: str, integer_unit: str = "ns"
+) -> DataFrame:
     """Points Parquet written by other tools, in the POINTS schema.
 
-    Accepts nanosecond timestamps (read as integers by a session setting that
-    has no effect on other columns) and files without ``seq``: the stored row
-    order then numbers each trajectory.
+    Accepts nanosecond timestamps and files without ``seq``: the stored row order
+    then numbers each trajectory. Spark reads nanoseconds only as plain integers; an
+    integer column of another unit is told by ``integer_unit`` (``ns``, ``us``, ``ms``
+    or ``s``).
     """
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    raw = spark.read.parquet(path)
+    option = "spark.sql.legacy.parquet.nanosAsLong"
+    before = spark.conf.get(option, "false")
+    spark.conf.set(option, "true")
+    try:  # the schema is settled here; the setting is only needed for that
+        raw = spark.read.parquet(path)
+    finally:
+        spark.conf.set(option, before)
     kind = raw.schema["timestamp"].dataType.simpleString()
     if kind == "bigint":
+        nanos = {"ns": 1, "us": 1_000, "ms": 1_000_000, "s": 1_000_000_000}[integer_unit]
         time = F.expr(
             "TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval("
-            "0, 0, 0, CAST(timestamp div 1000 AS DECIMAL(20, 0)) / 1000000)"
+            "0, 0, 0, CAST(CAST(timestamp AS DECIMAL(30, 0)) * "
+            f"{nanos} div 1000 AS DECIMAL(20, 0)) / 1000000)"
         )
     else:
         time = F.col("timestamp").cast("timestamp_ntz")
@@ -75,8 +85,7 @@ def read_foreign_points(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_name").alias("_file"),
         F.col("_metadata.row_index").alias("_row_index"),
     )
-    chunk = [F.col("_file"), F.expr("_row_index div 1000000")]
-    return dense_position(stored, ["traj_id"], ["_file", "_row_index"], chunk).select(
+    return dense_position(stored, ["traj_id"], ["_file", "_row_index"]).select(
         *POINTS.fieldNames()
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathweave.functions.scalars import parse_log_time
+from pathweave.operators.ordering import renumber
 
 HEADER_LINES = 6
 LOG_GLOB = "*/Trajectory/*.plt"
@@ -93,13 +94,12 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def is_complete() -> Column:
-    """A parsed row carries every value of a point."""
-    return (
-        F.col("lat").isNotNull()
-        & F.col("lon").isNotNull()
-        & F.col("altitude").isNotNull()
-        & F.col("timestamp").isNotNull()
-    )
+    """A parsed row carries every value of a point, and its numbers are finite."""
+    finite = [
+        F.coalesce(F.abs(c) < float("inf"), F.lit(False)) & ~F.isnan(c)
+        for c in ("lat", "lon", "altitude")
+    ]
+    return finite[0] & finite[1] & finite[2] & F.col("timestamp").isNotNull()
 
 
 def _parsed(spark: SparkSession, root: str, glob: str, whole_file_bytes: int):
@@ -119,16 +119,11 @@ def read_raw_logs(
 ) -> DataFrame:
     """Every well-formed point below ``root``, in the POINTS schema.
 
-    ``seq`` is the zero-based row of the log; it has a gap where a malformed or
-    blank line was left out (close it with
-    :func:`pathweave.operators.ordering.renumber`). A log without points yields
-    no rows, hence no trajectory.
+    ``seq`` counts the well-formed rows of a log from zero, without gaps. A log
+    without points yields no rows, hence no trajectory.
     """
-    return (
-        _parsed(spark, root, glob, whole_file_bytes)
-        .where(is_complete())
-        .drop("path", "line_no", "line")
-    )
+    rows = _parsed(spark, root, glob, whole_file_bytes).where(is_complete())
+    return renumber(rows.drop("path", "line_no", "line"), ("user_id", "traj_id"))
 
 
 def read_malformed_lines(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_result(
@@ -19,38 +22,60 @@ def write_result(
         raise ValueError(f"unknown result format: {fmt!r}")
 
 
+def table_folder(result: DataFrame) -> str:
+    """The sub-folder for results with these columns. Files of one folder are one
+    table, so results of other columns must not share it."""
+    return "-".join(c for c in result.columns if c != "geometry")
+
+
 def next_run_id(spark: SparkSession, root: str) -> int:
-    """One more than the largest ``run_id=`` folder below ``root``; 1 if none."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
-        return 1
-    names = [status.getPath().getName() for status in fs.listStatus(jvm_path)]
-    runs = [int(n[7:]) for n in names if n.startswith("run_id=") and n[7:].isdigit()]
-    return max(runs, default=0) + 1
+    """One more than the largest ``run_id=`` folder in any table below ``root``; 1 if
+    there is none."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*/run_id=*")
+    fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(pattern) or []
+    numbers = [re.fullmatch(r"run_id=(\d+)", x.getPath().getName()) for x in found]
+    return max((int(m[1]) for m in numbers if m), default=0) + 1
+
+
+def method_slug(name: str) -> str:
+    """A display name as a folder name: letters and digits, joined by ``_``."""
+    return "_".join(re.findall(r"[a-z0-9]+", name.lower()))
+
+
+def read_runs(spark: SparkSession, root: str, like: DataFrame) -> DataFrame:
+    """All stored CSV results with the columns of ``like``, with run_id and method."""
+    kept = like.drop("geometry").schema
+    schema = kept.add("run_id", T.IntegerType()).add("method", T.StringType())
+    return (
+        spark.read.schema(schema)
+        .option("header", True)
+        .csv(f"{root.rstrip('/')}/{table_folder(like)}")
+    )
 
 
 def append_run(
     results: dict[str, DataFrame], root: str, run_id: int | None = None, fmt: str = "csv"
 ) -> int:
-    """Store the named results of one run under ``run_id=<n>/method=<name>``."""
+    """Store the named results of one run under
+    ``<columns>/run_id=<n>/method=<name>``: a table for each set of columns."""
     if not results:
         raise ValueError("no results to store")
     spark = next(iter(results.values())).sparkSession
     if run_id is None:
         run_id = next_run_id(spark, root)
     for name, result in results.items():
-        safe = F.lit(name.lower().replace(" ", "_").replace("(", "").replace(")", ""))
+        path = f"{root.rstrip('/')}/{table_folder(result)}"
         write = (
             result.drop("geometry")
-            .withColumns({"run_id": F.lit(run_id), "method": safe})
+            .withColumns({"run_id": F.lit(run_id), "method": F.lit(method_slug(name))})
             .write.mode("append")
             .partitionBy("run_id", "method")
         )
         if fmt == "csv":
-            write.option("header", True).csv(root)
+            write.option("header", True).csv(path)
         elif fmt == "json":
-            write.json(root)
+            write.json(path)
         else:
             raise ValueError(f"unknown result format: {fmt!r}")
     return run_id

@@ -105,7 +105,7 @@ def test_empty_inputs_keep_their_columns(spark):
 def test_segment_scan_projects(spark):
     segments = fixed_segments(points(spark, {"t": INSIDE}))
     assert scan_segments(segments, BOX, ["entity_id"]).columns == ["entity_id"]
-    assert "vals_t" not in scan_segments(segments, BOX).columns
+    assert "min_t" not in scan_segments(segments, BOX).columns
 
 
 BOXES = "box_id int, min_lat double, max_lat double, min_lon double, max_lon double"

@@ -156,8 +156,7 @@ def test_dense_position_with_hot_keys(spark, hot_points):
     rows = [("hot", rng.random(), n) for n in range(300)]
     rows += [("cold", rng.random(), n) for n in range(3)]
     df = spark.createDataFrame(rows, "k string, v double, n int")
-    chunk = [F.floor(F.col("v") * 10)]
-    got = dense_position(df, ["k"], ["v"], chunk, "pos", hot_points)
+    got = dense_position(df, ["k"], ["v"], "pos", hot_points)
     for key in ("hot", "cold"):
         ordered = got.where(F.col("k") == key).orderBy("v").collect()
         assert [r.pos for r in ordered] == list(range(len(ordered)))
@@ -165,7 +164,7 @@ def test_dense_position_with_hot_keys(spark, hot_points):
 
 def test_renumber_closes_gaps(spark):
     rows = points(spark, {"t": line(20)}).where("seq % 3 <> 1")
-    got = renumber(rows, chunk_points=4, hot_points=2).orderBy("lat").collect()
+    got = renumber(rows, hot_points=2).orderBy("lat").collect()
     assert [r.seq for r in got] == list(range(len(got)))
 
 
@@ -178,6 +177,20 @@ def test_merge_users_appends_by_user(spark):
     assert [r.user_id for r in got] == ["u1"] * 4 + ["u2"] * 3
 
 
+@pytest.mark.parametrize("hot_points", [2, 1000])
+def test_positions_with_null_users(spark, hot_points):
+    rows = points(spark, {"t": line(12), "u": line(3)}).withColumn(
+        "user_id", F.lit(None).cast("string")
+    )
+    unnamed = points(spark, {"v": line(5)}).withColumn(
+        "traj_id", F.lit(None).cast("string")
+    )
+    got = merge_users(rows.unionByName(unnamed), hot_points=hot_points)
+    for key, n in (("t", 12), ("u", 3), (None, 5)):
+        own = got.where(F.col("traj_id").eqNullSafe(F.lit(key))).orderBy("lat")
+        assert [r.seq for r in own.collect()] == list(range(n))
+
+
 def test_trajectory_summaries(spark):
     rows = points(spark, {"a": line(5), "b": [(1.0, 2.0)]})
     assert {r.traj_id: r.n_points for r in trajectory_lengths(rows).collect()} == {

@@ -13,6 +13,7 @@ from pathweave.functions.wkb import point_geometry
 from pathweave.operators.extent import point_extent
 from pathweave.operators.index import grid_index
 from pathweave.operators.profile import file_profile, layout_profile
+from pathweave.operators.bbox import refine_points
 from pathweave.operators.segmentation import fixed_segments, grid_segments
 from pathweave.plans.evaluation import bbox_report, bbox_results, knn_results
 from pathweave.plans.layouts import build_layouts, open_layouts
@@ -27,7 +28,7 @@ from pathweave.sources.points import (
     write_points_csv,
 )
 from pathweave.sources.raw_logs import read_malformed_lines, read_raw_logs
-from pathweave.sources.results import append_run, next_run_id, write_result
+from pathweave.sources.results import append_run, next_run_id, read_runs, write_result
 from pathweave.sources.segments import (
     read_foreign_segments,
     read_segments,
@@ -89,7 +90,7 @@ def test_raw_logs(spark, logs, whole_file_bytes):
         ("002", "bad"): 2,
         ("003", "long"): 3000,
     }
-    assert [r.seq for r in tracks[("002", "bad")]] == [0, 2]
+    assert [r.seq for r in tracks[("002", "bad")]] == [0, 1]  # no gap for the bad line
     long = tracks[("003", "long")]
     assert [r.seq for r in long] == list(range(3000))
     assert [r.lat for r in long] == [float(39.9 + n / 1000) for n in range(3000)]
@@ -209,7 +210,12 @@ def test_segments_parquet(spark, tmp_path):
     plan = scan_segments(back, BBox(40.0, 40.001, 115.0, 117.0))
     text = plan_text(plan)
     assert "GreaterThanOrEqual(max_x,40.0)" in text
-    assert "vals_t" not in text.split("ReadSchema:")[1].split("\n")[0]
+    # all that refining reads, and no more
+    assert "min_t" not in text.split("ReadSchema:")[1].split("\n")[0]
+    refined = refine_points(plan, BBox(40.0, 40.001, 115.0, 117.0))
+    assert sorted(refined.collect()) == sorted(
+        refine_points(back, BBox(40.0, 40.001, 115.0, 117.0)).collect()
+    )
 
 
 def test_grid_index_ring_is_pushed_down(spark, tmp_path):
@@ -325,8 +331,14 @@ def test_results_and_runs(spark, tmp_path):
     named = {"Base Parquet": result, "Fixed Segments (bounds)": result}
     assert append_run(named, root) == 1
     assert append_run(named, root) == 2
-    stored = spark.read.option("header", True).csv(root)
+    other = spark.createDataFrame([("e", 1.0)], "entity_id string, lat double")
+    assert append_run({"Grid Segments": other}, root) == 3
+    stored = read_runs(spark, root, result)
     assert stored.count() == 4
+    assert {r.traj_id for r in stored.collect()} == {"a"}
+    assert [tuple(r) for r in read_runs(spark, root, other).collect()] == [
+        ("e", 1.0, 3, "grid_segments")
+    ]
     assert {r.method for r in stored.select("method").distinct().collect()} == {
         "base_parquet",
         "fixed_segments_bounds",
@@ -342,7 +354,7 @@ def test_layouts_from_raw_logs(spark, logs, tmp_path):
     frames = open_layouts(spark, layouts)
     assert len(frames) == 8
     stamp = {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet")}
-    build_layouts(spark, str(tmp_path / "out"), rows.limit(0), key)
+    build_layouts(spark, str(tmp_path / "out"), rows.limit(0), key, cell_size=0.01)
     assert stamp == {
         p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet")
     }
@@ -371,7 +383,7 @@ def test_layouts_from_raw_logs(spark, logs, tmp_path):
 def test_unfinished_layout_is_written_anew(spark, tmp_path):
     rows = points(spark, {"a": line(5)})
     layouts = build_layouts(spark, str(tmp_path / "out"), rows)
-    (tmp_path / "out" / "segments_fixed" / "_SUCCESS").unlink()
+    (tmp_path / "out" / "segments_fixed-100-by_traj_id" / "_SUCCESS").unlink()
     build_layouts(spark, str(tmp_path / "out"), rows)
     assert open_layouts(spark, layouts)["Fixed Segments"].count() == 1
 

@@ -65,19 +65,26 @@ def batch_of(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
     )
 
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is staged: shuffle files go when it is written, and no batch
+#: of rows with long binary columns outgrows a Python worker.
+_STAGING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """``stored_table``, and the shuffle files that made it are removed at once, as
     nothing reads them again."""
-    spark = df.sparkSession
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
+    conf = df.sparkSession.conf
+    before = {key: conf.get(key, None) for key in _STAGING}
+    for key, value in _STAGING.items():
+        conf.set(key, value)
     try:
         return stored_table(df, name)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
 
 
 FILTER_BITS = 25
@@ -103,14 +110,23 @@ def bit_filter(df: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarra
 
 def has_bit(df: DataFrame, column: str, shared, bits: int = FILTER_BITS) -> DataFrame:
     """The rows of ``df`` whose ``column`` may be in a broadcast ``bit_filter``."""
-    marked = df.withColumn("_at", _bit(column, bits))
+    marked = with_bit(df, column, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for batch in batches:
-            at = batch.column("_at").to_numpy(zero_copy_only=False)
-            keep = (table[at >> 6] >> (at & 63)) & 1
-            if keep.any():
-                yield batch.filter(pa.array(keep.astype(bool)))
+            found = only_set(batch, shared.value)
+            if found.num_rows:
+                yield found
 
     return marked.mapInArrow(run, marked.schema).drop("_at")
+
+
+def with_bit(df: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
+    """``df`` with ``_at``, the place of the column's bit, for ``only_set``."""
+    return df.withColumn("_at", _bit(column, bits))
+
+
+def only_set(batch: pa.RecordBatch, table: np.ndarray) -> pa.RecordBatch:
+    """The rows of a batch whose bit is set, inside a task."""
+    at = batch.column("_at").to_numpy(zero_copy_only=False)
+    return batch.filter(pa.array(((table[at >> 6] >> (at & 63)) & 1).astype(bool)))

@@ -10,22 +10,34 @@ from pathweave.llm.common import stage_table
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of every node in ``edges`` (a, b: long): the smallest node it
-    can reach.
+    can reach."""
+    found = stars(edges, name)
+    return found.union(found.select(F.col("component").alias("node"), "component").distinct())
+
+
+def stars(edges: DataFrame, name: str = "components") -> DataFrame:
+    """``components`` without the nodes that are the smallest of theirs.
 
     Each round ties every node to the smallest of its neighbours, first the larger
-    ones around it (large star), then the smaller ones (small star); it ends when all
-    are stars. Neighbours are only ever counted and minimised, never gathered, and the
-    number of rounds grows with the logarithm of the longest path.
+    ones around it (large star), then the smaller ones (small star); it ends when a
+    round changes nothing. Neighbours are only ever counted and minimised, never
+    gathered, and the number of rounds grows with the logarithm of the longest path.
     """
     links = stage_table(_cleaned(edges.select(F.col("a").cast("long"), F.col("b").cast("long"))), name)
+    before = _print(links)
     while True:
-        after = stage_table(_small_star(_large_star(links)), name)
-        if after.count() == links.count() and after.join(links, ["a", "b"], "left_anti").isEmpty():
-            break
-        links = after
-    # stars: a > b, and b is the centre
-    found = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return found.union(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        links = stage_table(_small_star(_large_star(links)), name)
+        after = _print(links)
+        if after == before:
+            return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        before = after
+
+
+def _print(links: DataFrame) -> tuple:
+    """The number of edges and two sums of hashes of them, which tell sets apart."""
+    hashed = [F.xxhash64("a", "b", F.lit(seed)) for seed in (1, 2)]
+    found = links.agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(h).alias(f"h{k}") for k, h in enumerate(hashed)])
+    return tuple(found.first())
 
 
 def _cleaned(edges: DataFrame) -> DataFrame:

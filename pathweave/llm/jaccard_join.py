@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathweave.llm.common import batch_of, bit_filter, has_bit, slices, stage_table, texts_of
-from pathweave.llm.components import components
+from pathweave.llm.components import stars
 
 SHINGLE = 4
 THRESHOLD = 85  # percent
@@ -35,7 +35,8 @@ THRESHOLD = 85  # percent
 COMMON = 65_536
 TASK_COMMON = 16_384
 BLOCK = 128
-#: Further rounds of centres while lists hold this many times more pairs than sets.
+#: Further rounds of centres while lists hold this many times more pairs than sets and
+#: a round at least halves the pairs.
 STAR_ROUNDS = 4
 STAR_GAIN = 16
 
@@ -182,40 +183,34 @@ def _positions_allow(n1, p1, n2, p2, threshold: int) -> Column:
 
 
 def _overlaps(pairs: DataFrame, rows: DataFrame, size: int, threshold: int, name: str) -> DataFrame:
-    """(a, b, n_a, n_b, common, linked) of the pairs: the sets are made from the texts
-    of the documents that stand in a pair, and meet by joins that split hot keys.
+    """(a, b, n_a, n_b, common, linked) of the pairs. Texts of the documents that stand
+    in a pair meet by joins that split hot keys; they take less room than their sets,
+    which are only made where both have met.
 
     A repeated pair of ids comes up once for each pair of their texts.
     """
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
     shared = rows.sparkSession.sparkContext.broadcast(bit_filter(ids, "doc_id"))
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
-        for batch in slices(batches):
-            sets = shingle_sets(batch.column("text").to_pylist(), size)
-            yield batch_of(schema, id=batch.column("doc_id"), shingles=[s.tobytes() for s in sets])
-
-    sets = has_bit(rows, "doc_id", shared).mapInArrow(make, "id long, shingles binary")
-    first = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
-    second = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
+    texts = has_bit(rows, "doc_id", shared)
+    first = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("of_b"))
+    second = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("of_a"))
     met = pairs.select("a", "b").join(first, "b").join(second, "a")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("common", pa.int64()), ("linked", pa.bool_())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "of_b"):
+            # rows of one ``a`` come together, so most texts of it are met again
+            texts: dict[str, int] = {}
+            places = [[texts.setdefault(t, len(texts)) for t in batch.column(c).to_pylist()] for c in ("of_a", "of_b")]
+            sets = shingle_sets(list(texts), size)
             rows = []
-            for x, y in zip(batch.column("of_a"), batch.column("of_b")):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                if len(x) > len(y):
-                    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                    common = int((x[at] == y).sum())
-                else:
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    common = int((y[at] == x).sum())
-                rows.append((len(x), len(y), common, 100 * common >= threshold * (len(x) + len(y) - common)))
-            columns = dict(zip(schema.names[2:], map(list, zip(*rows)))) if rows else {n: [] for n in schema.names[2:]}
-            yield batch_of(schema, a=batch.column("a"), b=batch.column("b"), **columns)
+            for x, y in zip(*places):
+                x, y = sorted((sets[x], sets[y]), key=len)
+                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                rows.append((common, 100 * common >= threshold * (len(x) + len(y) - common)))
+            common, linked = map(list, zip(*rows)) if rows else ([], [])
+            n_a, n_b = ([len(sets[k]) for k in own] for own in places)
+            yield batch_of(schema, a=batch.column("a"), b=batch.column("b"), n_a=n_a, n_b=n_b, common=common, linked=linked)
 
     return stage_table(met.select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long, n_a long, n_b long, common long, linked boolean"), name)
 
@@ -232,15 +227,32 @@ def _lists(sets: DataFrame, heads: DataFrame) -> DataFrame:
     return stage_table(named.select("token", "node", "n", "place").distinct(), "shingle-lists")
 
 
-def _stars(lists: DataFrame, turn: int, threshold: int) -> DataFrame:
-    """Each set of a list with the list's centre, where size and place allow a link."""
-    rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "place")
-    centres = lists.groupBy("token").agg(F.min(rank).alias("c"))
-    met = lists.join(centres.select("token", F.col("c.node").alias("centre"), F.col("c.n").alias("cn")), "token")
+def _centres(lists: DataFrame, turn: int) -> DataFrame:
+    """(token, centre, cn): one set of each list, another one each turn."""
+    rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n")
+    found = lists.groupBy("token").agg(F.min(rank).alias("c"))
+    return found.select("token", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"))
+
+
+def _stars(lists: DataFrame, centres: DataFrame, threshold: int) -> DataFrame:
+    """Each set of a list with the list's centre, where the sizes allow a link."""
+    met = lists.join(centres, "token")
     met = met.where((F.col("node") != F.col("centre")) & _sizes_allow(F.col("n"), F.col("cn"), threshold))
     return met.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
 
 
+def _measured(lists: DataFrame, centres: DataFrame, known: DataFrame) -> DataFrame:
+    """``lists`` with ``beside``, the most shingles that a set may have beside the centre
+    of its list, and ``shared``, the most that it may share with it: as computed, or as
+    wide as can be where nothing was."""
+    overlaps = known.groupBy("a", "b").agg(F.min("common").alias("low"), F.max("common").alias("high"))
+    placed = lists.join(centres.select("token", "centre"), "token", "left").withColumns({"a": F.greatest("node", "centre"), "b": F.least("node", "centre")})
+    own = F.col("node") == F.col("centre")
+    low = F.when(own, F.col("n")).otherwise(F.coalesce("low", F.lit(0)))
+    high = F.when(own, F.col("n")).otherwise(F.coalesce("high", F.col("n")))
+    return placed.join(overlaps, ["a", "b"], "left").select(*lists.columns, (F.col("n") - low).alias("beside"), high.alias("shared"))
+
+
 def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """The lists that hold several components, with ``part``, the component."""
     named = lists.drop("part").join(labels, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
@@ -249,23 +261,39 @@ def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _block_pairs(lists: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of sets of different components in one list, by way of blocks."""
-    sizes = lists.groupBy("token", "part").count().withColumn("cuts", F.ceil(F.col("count") / BLOCK).cast("long"))
-    salted = lists.join(sizes.select("token", "part", "cuts"), ["token", "part"]).withColumn("cut", F.pmod(F.xxhash64("node"), "cuts"))
-    blocks = salted.groupBy("token", "part", "cut").agg(
+    """Pairs of sets of different components in one list, by way of blocks.
+
+    A block holds sets of one component that lie about as far from the list's centre.
+    Two blocks are skipped if their sizes differ too much, if too little of their sets
+    follows the shingle, or if what one shares with the centre and what the other has
+    beside it can't add up to a link: common(x, y) <= shared(x) + beside(y).
+    """
+    distance = F.floor(F.log2(F.col("beside") + 1)).cast("int")
+    marked = lists.withColumn("distance", distance)
+    sizes = marked.groupBy("token", "part", "distance").count().withColumn("cuts", F.ceil(F.col("count") / BLOCK).cast("long"))
+    salted = marked.join(sizes.select("token", "part", "distance", "cuts"), ["token", "part", "distance"]).withColumn("cut", F.pmod(F.xxhash64("node"), "cuts"))
+    blocks = salted.groupBy("token", "part", "distance", "cut").agg(
         F.min("n").alias("n0"),
         F.max("n").alias("n1"),
         F.max(F.col("n") - F.col("place")).alias("rest"),
-        F.collect_list(F.struct("node", "n", "place")).alias("sets"),
+        F.max("beside").alias("beside"),
+        F.max("shared").alias("shared"),
+        F.collect_list(F.struct("node", "n", "place", "beside", "shared")).alias("sets"),
     )
     left, right = blocks.alias("l"), blocks.alias("r")
     near = (F.col("l.n1") * 100 >= F.col("r.n0") * threshold) & (F.col("r.n1") * 100 >= F.col("l.n0") * threshold)
-    reach = F.least("l.rest", "r.rest") >= _least_overlap(F.col("l.n0"), F.col("r.n0"), threshold)
+    most = F.least("l.rest", "r.rest", F.col("l.shared") + F.col("r.beside"), F.col("r.shared") + F.col("l.beside"))
+    reach = most >= _least_overlap(F.col("l.n0"), F.col("r.n0"), threshold)
     met = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.part") < F.col("r.part")) & near & reach)
     one = met.select(F.explode("l.sets").alias("x"), F.col("r.sets").alias("others"))
-    two = one.select("x", F.explode("others").alias("y"))
+    others = F.filter(
+        "others",
+        lambda y: _sizes_allow(F.col("x.n"), y["n"], threshold)
+        & _positions_allow(F.col("x.n"), F.col("x.place"), y["n"], y["place"], threshold)
+        & (F.least(F.col("x.shared") + y["beside"], y["shared"] + F.col("x.beside")) >= _least_overlap(F.col("x.n"), y["n"], threshold)),
+    )
+    two = one.select("x", F.explode(others).alias("y"))
     x, y = (lambda f: F.col(f"x.{f}")), (lambda f: F.col(f"y.{f}"))
-    two = two.where(_sizes_allow(x("n"), y("n"), threshold) & _positions_allow(x("n"), x("place"), y("n"), y("place"), threshold))
     return two.select(
         F.greatest(x("node"), y("node")).alias("a"), F.least(x("node"), y("node")).alias("b"),
         F.when(x("node") > y("node"), x("n")).otherwise(y("n")).alias("n_a"),
@@ -312,25 +340,27 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, id_co
     lists = _lists(real.where("prefix IS NOT NULL"), heads)
     known = None
     labels = None
+    before = float("inf")
     for turn in range(STAR_ROUNDS):
-        stars = _stars(lists, turn, threshold)
+        centres = stage_table(_centres(lists, turn), "centres")
+        stars_of = _stars(lists, centres, threshold)
         if known is not None:
-            stars = stars.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        found = _overlaps(stage_table(stars, "stars"), texts, size, threshold, "overlaps")
+            stars_of = stars_of.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        found = _overlaps(stage_table(stars_of, "stars"), texts, size, threshold, "overlaps")
         known = found if known is None else known.unionByName(found)
-        labels = components(known.where("linked").select("a", "b").union(edges))
-        labels = stage_table(labels, "labels")
+        labels = stars(known.where("linked").select("a", "b").union(edges))
         lists = _open_lists(lists, labels)
         per_list = lists.groupBy("token", "part").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.col("count") ** 2).alias("own"))
         total = per_list.agg(F.sum("n").alias("n"), F.sum((F.col("n") ** 2 - F.col("own")) / 2).alias("pairs")).first()
-        if not total.n or total.pairs <= STAR_GAIN * total.n:
+        if not total.n or total.pairs <= STAR_GAIN * total.n or 2 * total.pairs > before:
             break
+        before = total.pairs
     if total.n:
-        left = stage_table(_derived(stage_table(_block_pairs(lists, threshold), "block-pairs"), known, threshold), "open-pairs")
+        left = stage_table(_derived(stage_table(_block_pairs(_measured(lists, centres, known), threshold), "block-pairs"), known, threshold), "open-pairs")
         found = _overlaps(left, texts, size, threshold, "overlaps")
         if not found.where("linked").isEmpty():
             merged = found.where("linked").select("a", "b").union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            labels = stage_table(components(merged), "labels")
+            labels = stars(merged)
     classes = heads.join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     named = sets.select("doc_id", "n", "key").join(classes, "key", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))

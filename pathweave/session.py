@@ -57,9 +57,12 @@ def stored_table(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage, survives lost executors, and gives the planner the true
     size, so that a following join broadcasts it only if it is small enough and
-    otherwise shuffles, without guessing.
+    otherwise shuffles, without guessing. It goes when the application ends.
     """
     spark = df.sparkSession
     path = shared_folder(spark, name)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    # nothing reads it after the application
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

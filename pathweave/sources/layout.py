@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 # cells per tile edge; tiles keep neighbouring cells of both axes in one file
 TILE_CELLS = 64
+# planned size of a file before compression
+FILE_BYTES = 512 * 1024 * 1024
+
+
+def partitions_for(df: DataFrame, file_bytes: int = FILE_BYTES) -> int | None:
+    """How many files ``df`` should fill by the planner's estimate of its size; None
+    while the session's shuffle partitions are enough, as AQE then merges small ones.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = -(-size // file_bytes)
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # without statistics the planner answers with its largest number
+    return wanted if usual < wanted and size < 1 << 60 else None
 
 
 def clustered(
@@ -33,6 +46,8 @@ def clustered(
         cell_j,
         *[F.col(c) for c in tie],
     ]
+    if partitions is None:
+        partitions = partitions_for(df)
     ranged = (
         df.repartitionByRange(*keys)
         if partitions is None

@@ -99,3 +99,13 @@ def test_lines_without_numbers_are_quarantined(spark, tmp_path):
     assert [(r.seq, r.lat) for r in got] == [(0, 39.9), (1, 39.7)]
     assert [r.line_no for r in read_malformed_lines(spark, str(tmp_path)).orderBy("line_no").collect()] == [7, 8]
     assert grid_segments(read_raw_logs(spark, str(tmp_path)), GRID, 1.0).count() == 1
+
+
+def test_files_follow_the_planned_size(spark, tmp_path):
+    from pathweave.sources.layout import partitions_for
+
+    points(spark, {"t": line(5000)}).write.parquet(str(tmp_path / "p"))
+    rows = spark.read.parquet(str(tmp_path / "p"))
+    assert partitions_for(rows) is None
+    assert partitions_for(rows, file_bytes=1000) > 20
+    assert partitions_for(spark.createDataFrame([(1,)], "a int"), 1) is None

@@ -2,7 +2,8 @@
 
 Points, segments and GeoParquet layouts of GPS trajectories, with bounding-box
 and k-nearest-neighbour queries over each of them. Every public operator is a
-plain function ``DataFrame -> DataFrame`` and stays lazy until the caller acts.
+plain function ``DataFrame -> DataFrame``. Most stay lazy until the caller acts; those
+that have to know or store something first say so and run a job when called.
 """
 
 import sys

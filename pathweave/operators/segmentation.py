@@ -64,6 +64,12 @@ def _segment_columns() -> list[Column]:
     ]
 
 
+def finish_segments(members: DataFrame) -> DataFrame:
+    """SEGMENTS rows of flat members (see :func:`build_segments`), each part with the
+    bounds of its own points."""
+    return build_segments(members).select(*_segment_columns())
+
+
 def with_segment_bounds(rows: DataFrame) -> DataFrame:
     """Give every part of a segment the bounds of all its parts.
 
@@ -263,7 +269,7 @@ def grid_segments(
     job finds out whether any trajectory is long enough for that.
     """
     members = grid_members(points, grid, cell_size, key, part_points)
-    rows = build_segments(members).select(*_segment_columns())
+    rows = finish_segments(members)
     several = _longer_than(points, key, part_points)
     return with_segment_bounds(rows) if several else rows
 

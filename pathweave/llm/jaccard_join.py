@@ -146,7 +146,7 @@ _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary(
 
 def _prefixes(rows: DataFrame, size: int, threshold: int) -> DataFrame:
     """One row a document: size and hash of its set, and its prefix in order. Within a
-    task the prefix of equal sets is given once."""
+    task the prefix of equal sets is given once, with a row that has an id."""
     common, ranks = _common_shingles(rows, size)
     shared = rows.sparkSession.sparkContext.broadcast((common, ranks))
 
@@ -157,8 +157,8 @@ def _prefixes(rows: DataFrame, size: int, threshold: int) -> DataFrame:
             sets = shingle_sets(batch.column("text").to_pylist(), size)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             prefixes = []
-            for own, key in zip(sets, keys):
-                if key in met or not len(own):
+            for own, key, named in zip(sets, keys, batch.column("doc_id").is_valid().to_pylist()):
+                if not named or key in met or not len(own):
                     prefixes.append(None)
                 else:
                     met.add(key)

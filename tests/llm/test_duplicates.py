@@ -117,6 +117,15 @@ def test_links_of_awkward_rows(spark):
     assert jaccard_join.link(frame(spark, [])).count() == 0
 
 
+def test_links_of_a_text_met_first_without_an_id(spark):
+    text = words(40, 9)
+    near = [*text[:-1], "other"]
+    rows = [(None, " ".join(text)), (1, " ".join(text)), (2, " ".join(near)), (3, " ".join(text)), (None, " ".join(near))]
+    one_task = frame(spark, rows).coalesce(1)
+    assert rows_of(jaccard_join.link(one_task), "doc_id", "n_shingles", "component_id") == linked(rows, 4, 85)
+    assert rows_of(jaccard_join.keep_one(one_task), "doc_id") == [(None,), (None,), (1,)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7), (103, 101), (101, 100)]
     found = components(spark.createDataFrame(edges, "a long, b long"))

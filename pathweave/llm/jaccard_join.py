@@ -301,12 +301,14 @@ def _block_pairs(lists: DataFrame, threshold: int) -> DataFrame:
     ).distinct()
 
 
-def _derived(pairs: DataFrame, known: DataFrame, threshold: int) -> DataFrame:
+def _derived(pairs: DataFrame, known: DataFrame, several: DataFrame, threshold: int) -> DataFrame:
     """The pairs that what is known leaves open: for x near a centre c with known
-    overlaps, common(x, y) <= common(c, y) + |x| - common(x, c)."""
+    overlaps, common(x, y) <= common(c, y) + |x| - common(x, c). Overlaps are known by
+    id, so that this says nothing of an x in ``several``, the ids with several sets."""
     both = known.select("a", "b", "n_a", "n_b", "common", "linked").union(known.select("b", "a", "n_b", "n_a", "common", "linked"))
     gap = F.struct((F.col("n_a") - F.col("common")).alias("gap"), F.col("b").alias("centre"))
-    nearest = both.where("linked").groupBy("a").agg(F.min(gap).alias("g")).select(F.col("a").alias("x"), F.col("g.centre").alias("centre"), F.col("g.gap").alias("gap"))
+    single = both.where("linked").join(several.select(F.col("doc_id").alias("a")), "a", "left_anti")
+    nearest = single.groupBy("a").agg(F.min(gap).alias("g")).select(F.col("a").alias("x"), F.col("g.centre").alias("centre"), F.col("g.gap").alias("gap"))
     overlaps = both.groupBy(F.col("a").alias("centre"), F.col("b").alias("y")).agg(F.max("common").alias("near"))
     left = pairs
     for x, y in (("a", "b"), ("b", "a")):
@@ -333,7 +335,8 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, id_co
     real = sets.where("n > 0 AND doc_id IS NOT NULL")
     heads = stage_table(real.groupBy("key").agg(F.min("doc_id").alias("node")), "shingle-sets")
     # rows of one id are one document, whatever their texts
-    same = real.groupBy("doc_id").agg(F.min("key").alias("k1"), F.max("key").alias("k2")).where("k1 <> k2").select("doc_id")
+    several = real.groupBy("doc_id").agg(F.min("key").alias("k1"), F.max("key").alias("k2")).where("k1 <> k2")
+    same = stage_table(several.select("doc_id"), "several-sets")
     alike = real.join(same, "doc_id", "left_semi").join(heads, "key").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     edges = stage_table(alike, "same-ids")
     texts = rows.where("doc_id IS NOT NULL")
@@ -356,7 +359,7 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, id_co
             break
         before = total.pairs
     if total.n:
-        left = stage_table(_derived(stage_table(_block_pairs(_measured(lists, centres, known), threshold), "block-pairs"), known, threshold), "open-pairs")
+        left = stage_table(_derived(stage_table(_block_pairs(_measured(lists, centres, known), threshold), "block-pairs"), known, same, threshold), "open-pairs")
         found = _overlaps(left, texts, size, threshold, "overlaps")
         if not found.where("linked").isEmpty():
             merged = found.where("linked").select("a", "b").union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))

@@ -126,6 +126,26 @@ def test_links_of_a_text_met_first_without_an_id(spark):
     assert rows_of(jaccard_join.keep_one(one_task), "doc_id") == [(None,), (None,), (1,)]
 
 
+def several_texts():
+    """Threes of ids, one of them with two texts: one near the text of the second id, one
+    near that of the third. All share the rarest words, so that any may be the centre."""
+    rng, rows = random.Random(8), []
+    for group in range(12):
+        own = [f"g{group}n{k}" for k in range(60)]
+        own.sort(key=lambda w: jaccard_join.shingle_sets([w], 1)[0][0])
+        rare, one, other, ids = own[:4], own[4:20], own[20:36], rng.sample(range(1000 * group, 1000 * group + 1000), 3)
+        texts = [(0, one), (1, other), (2, [*one[1:], own[40]]), (2, [*other[1:], own[41]])]
+        rows += [(ids[n], " ".join(rare + rest)) for n, rest in texts]
+    return rows
+
+
+def test_links_of_ids_with_several_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COMMON", 0)
+    rows = several_texts()
+    found = jaccard_join.link(frame(spark, rows), 1, 85)
+    assert rows_of(found, "doc_id", "n_shingles", "component_id") == linked(rows, 1, 85)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7), (103, 101), (101, 100)]
     found = components(spark.createDataFrame(edges, "a long, b long"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pathweave.llm.common import batch_of, slices, texts_of
 
 #: So many documents of either label are learned from, at most.
-SAMPLE_DOCS = 2500
+SAMPLE_DOCS = 3000
 #: Features in fewer toxic documents of the sample carry no weight.
 LEAST_DOCS = 3
 #: Lengths of the word beginnings that are features beside the words.

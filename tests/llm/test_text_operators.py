@@ -134,6 +134,12 @@ def labelled(n=400):
     return rows, labels
 
 
+def test_toxicity_learns_from_3000_documents_of_a_label(spark, monkeypatch):
+    docs = spark.range(9000).selectExpr("id AS doc_id", "'some text' AS text", "int(id % 2) AS toxic")
+    monkeypatch.setattr(toxicity.ToxicityModel, "fit", lambda texts, labels: [labels.count(0), labels.count(1)])
+    assert toxicity.fit(docs, docs) == [3000, 3000]
+
+
 def test_toxicity_learns_and_locates(spark):
     rows, labels = labelled()
     table = spark.createDataFrame(labels + [(None, 1), (5, None), (10**6, 1)], "doc_id long, toxic int")

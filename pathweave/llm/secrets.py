@@ -234,19 +234,19 @@ def fit(docs: DataFrame, text_col: str = "text", sample_windows: int = SAMPLE_WI
     """A CRF fitted to windows of the table, labelled by the base patterns.
 
     Of all windows with a secret, and of all without, the ``sample_windows`` that come
-    first by a hash of their text are taken; that is all the driver ever holds. Without
-    any window the CRF has no weights and adds nothing.
+    first by a hash of their features and labels are taken, equal ones once; that is all
+    the driver ever holds. Without any window the CRF has no weights and adds nothing.
     """
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, list] = {True: [], False: []}
+        held: dict[bool, set] = {True: set(), False: set()}
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 for row in _sample_windows(text):
-                    held[row[1]].append(row)
+                    held[row[1]].add(row)
             for kind, rows in held.items():
                 if len(rows) > 2 * sample_windows:
-                    held[kind] = sorted(rows)[:sample_windows]
+                    held[kind] = set(sorted(rows)[:sample_windows])
         rows = [row for kind in held.values() for row in sorted(kind)[:sample_windows]]
         if rows:
             yield batch_of(_SAMPLE, **dict(zip(_SAMPLE.names, map(list, zip(*rows)))))
@@ -254,7 +254,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample_windows: int = SAMPLE_WI
     windows = stored_table(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(sample, _SAMPLE_DDL), "secret-windows")
     taken = []
     for kind in (F.col("positive"), ~F.col("positive")):
-        taken += windows.where(kind).orderBy("rank", "labels", "features").limit(sample_windows).collect()
+        taken += windows.where(kind).distinct().orderBy("rank", "labels", "features", "allowed").limit(sample_windows).collect()
     if not taken:
         return Crf(np.zeros((BUCKETS, 3)), np.zeros((3, 3)))
     shape = (len(taken), WINDOW)
@@ -268,21 +268,21 @@ def fit(docs: DataFrame, text_col: str = "text", sample_windows: int = SAMPLE_WI
 
 
 def _sample_windows(text: str) -> Iterator[tuple]:
-    """Rows of ``_SAMPLE`` for the windows of a text, labelled by the base spans."""
+    """Rows of ``_SAMPLE`` for the windows of a text, labelled by the base spans; a long
+    window is cut into pieces that begin anew."""
     if not _may_hold(text):
         return
     document = Document(text)
     if not any(document.suspect):
         return
     labels = document.labels(base_spans(text))
-    for start, stop in document.windows():
-        stop = min(stop, start + WINDOW)
-        words = " ".join(document.words[start:stop])
-        features = np.array([document.features(n) for n in range(start, stop)], dtype="<u2")
-        allowed = np.array([document.constraints(n) for n in range(start, stop)], dtype="<f4")
-        tags = np.array(labels[start:stop], dtype="u1")
-        rank = int.from_bytes(hashlib.blake2b(words.encode(), digest_size=8).digest(), "little", signed=True)
-        yield (rank, bool((tags > 0).any()), features.tobytes(), tags.tobytes(), allowed.tobytes(), stop - start)
+    pieces = ((a, min(stop, a + WINDOW)) for start, stop in document.windows() for a in range(start, stop, WINDOW))
+    for start, stop in pieces:
+        features = np.array([document.features(n) for n in range(start, stop)], dtype="<u2").tobytes()
+        allowed = np.array([document.constraints(n) for n in range(start, stop)], dtype="<f4").tobytes()
+        tags = np.array(labels[start:stop], dtype="u1").tobytes()
+        rank = int.from_bytes(hashlib.blake2b(features + allowed + tags, digest_size=8).digest(), "little", signed=True)
+        yield (rank, any(tags), features, tags, allowed, stop - start)
 
 
 _RESULT = T.StructType(

@@ -79,6 +79,20 @@ def test_crf_adds_what_stands_like_a_secret(spark):
     assert rows_of(masked, "doc_id", "text") == [(1, text.replace("ab12cd34", "[SECRET]")), (2, None)]
 
 
+def test_crf_sample_holds_every_window_once(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(secrets.Crf, "fit", lambda features, labels, allowed, lengths: taken.extend(f.tobytes() for f in features))
+    texts = [f"call {i % 7}00-1234 now" for i in range(50)] + [f"{w} 555-1234 now" for w in ("ring", "dial", "phone", "try", "use")]
+    secrets.fit(frame(spark, list(enumerate(texts))), sample_windows=6)
+    assert len(taken) == len(set(taken)) == 6
+
+
+def test_crf_sample_holds_the_end_of_long_windows():
+    text = " ".join(f"n{i}12345" for i in range(40)) + " password = abcdef0123456789xyz"
+    rows = list(secrets._sample_windows(text))
+    assert [row[5] for row in rows] == [32, 11] and [row[1] for row in rows] == [False, True]
+
+
 def contaminated(docs, items):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     windows = {}

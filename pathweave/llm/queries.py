@@ -6,8 +6,23 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from pathweave.llm import decontamination, jaccard_join, language_id, packing, quality_rules, secrets, suffix_dedup, token_counts, token_files, toxicity
+from pyspark.sql import functions as F
+
+from pathweave.llm import (
+    code_compression,
+    decontamination,
+    hard_negatives,
+    jaccard_join,
+    language_id,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    suffix_dedup,
+    token_counts,
+    token_files,
+    toxicity,
+)
 from pathweave.llm.common import table
 from pathweave.session import shared_folder
 
@@ -160,6 +175,70 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+OP11_SQL = r"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS g
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, a.label = c.label AS same, c.r, c.vec_id, list_dot_product(a.g, c.g)::BIGINT AS score
+  FROM e a JOIN e c ON a.r <> c.r WHERE a.vec_id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id, r) AS n FROM s WHERE same QUALIFY n <= 5),
+m AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.ar, p.n ORDER BY s.score DESC, s.vec_id, s.r) AS rank
+  FROM p JOIN s ON p.ar = s.ar AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM m WHERE rank <= 3
+"""
+
+
+def op12_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_compression.compress(table(spark, sf_dir, "embeddings"))
+
+
+#: One round: every part to its nearest entry, then the means of the parts.
+_OP12_ROUND = """
+a{n} AS MATERIALIZED (
+  SELECT r, part, min(d * 256 + entry) % 256 AS entry, min(d * 256 + entry) // 256 AS d FROM (
+    SELECT v.r, v.part, c.entry, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM v JOIN c{n} c USING (part, pos) GROUP BY v.r, v.part, c.entry)
+  GROUP BY r, part),
+c{m} AS MATERIALIZED (
+  SELECT c.part, c.entry, c.pos, coalesce(u.x, c.x) AS x
+  FROM c{n} c LEFT JOIN (
+    SELECT part, entry, pos, floor(sum(v.x) / count(*))::BIGINT AS x FROM v JOIN a{n} USING (r, part) GROUP BY part, entry, pos) u USING (part, entry, pos)),"""
+
+OP12_SQL = (
+    r"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, embedding AS g, len(embedding) // 4 AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (
+  SELECT r, i // w AS part, i % w AS pos, floor(1024 * g[i + 1]::DOUBLE)::BIGINT AS x FROM (SELECT r, g, w, unnest(range(len(g))) AS i FROM e)),
+c0 AS (SELECT part, r - 1 AS entry, pos, x FROM v WHERE r <= 256),"""
+    + "".join(_OP12_ROUND.format(n=n, m=n + 1) for n in range(5))
+    + r"""
+coded AS (
+  SELECT r, string_agg(format('{:02x}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY r),
+book AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) AS h FROM c4)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256
+FROM e JOIN coded USING (r), book
+"""
+)
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_toxicity": op2_toxicity,
@@ -171,6 +250,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_secrets": op10_secrets,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_code_compression": op12_code_compression,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
-ORACLE: dict[str, str] = {"op4_suffix_dedup": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op8_quality_rules": OP8_SQL, "op9_decontamination": OP9_SQL}
+ORACLE: dict[str, str] = {
+    "op4_suffix_dedup": OP4_SQL,
+    "op5_jaccard_join": OP5_SQL,
+    "op8_quality_rules": OP8_SQL,
+    "op9_decontamination": OP9_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_code_compression": OP12_SQL,
+}

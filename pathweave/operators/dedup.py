@@ -36,18 +36,22 @@ def distinct_positions(points: DataFrame) -> DataFrame:
     return points.groupBy("lat", "lon").agg(F.min("traj_id").alias("traj_id"))
 
 
-def first_per_rounded_position(members: DataFrame) -> DataFrame:
-    """Keep one segment point per entity and position rounded to six decimals.
+def first_per_rounded_position(
+    members: DataFrame, per: Sequence[str] = ()
+) -> DataFrame:
+    """Keep one segment point per entity and position rounded to six decimals, for
+    each value of the columns ``per`` (which then come first).
 
     The first by (segment, part, pos) survives, with its unrounded coordinates.
     """
     order = F.struct("segment_id", "part", "pos")
     return (
         members.groupBy(
+            *per,
             "entity_id",
             F.rint(F.col("lat") * 1e6).alias("_lat6"),
             F.rint(F.col("lon") * 1e6).alias("_lon6"),
         )
         .agg(F.min_by(F.struct("lat", "lon", "timestamp"), order).alias("_p"))
-        .select("entity_id", "_p.lat", "_p.lon", "_p.timestamp")
+        .select(*per, "entity_id", "_p.lat", "_p.lon", "_p.timestamp")
     )

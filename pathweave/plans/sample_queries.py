@@ -24,6 +24,7 @@ from pathweave.operators.index import fixed_index, grid_index
 from pathweave.operators.knn_batch import knn_batch
 from pathweave.operators.profile import layout_profile
 from pathweave.operators.ordering import renumber
+from pathweave.operators.rectangle_join import bbox_batch_segments, match_segments
 from pathweave.plans.evaluation import CATEGORIES, bbox_report, bbox_results
 from pathweave.plans.stored import stored_layout, stored_layouts
 from pathweave.plans.table_views import (
@@ -543,11 +544,7 @@ def bbox_grid_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbox.bbox_segments(stored_layout(spark, sf_dir, "Grid Segments"), BOX, "points")
 
 
-@query(
-    "bbox_batch",
-    with_(
-        ROWS,
-        """
+CUSTOMER_BOXES = """
 boxes AS (
   SELECT c_custkey AS box_id, 39.985e0 + (c_custkey % 311) / 10000e0 AS min_lat,
          39.985e0 + (c_custkey % 311) / 10000e0 + (1 + c_custkey % 13) / 20000e0
@@ -555,7 +552,14 @@ boxes AS (
          116.31e0 + (c_custkey % 61) / 10000e0 AS min_lon,
          116.31e0 + (c_custkey % 61) / 10000e0 + (1 + c_custkey % 5) / 10000e0
            AS max_lon
-  FROM customer)""",
+  FROM customer)"""
+
+
+@query(
+    "bbox_batch",
+    with_(
+        ROWS,
+        CUSTOMER_BOXES,
         """
 SELECT box_id, traj_id, lat, lon, altitude, "timestamp" FROM (
   SELECT *, row_number() OVER (PARTITION BY box_id, traj_id, lat, lon
@@ -572,6 +576,52 @@ def batch_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("box_id", *POINT_COLUMNS)
 
 
+SEGMENT_PAIRS = with_(
+    GRID_ALL,
+    BOUNDS,
+    CUSTOMER_BOXES,
+    """
+SELECT box_id, entity_id, segment_id FROM boxes JOIN segs
+ON max_x >= min_lat AND min_x <= max_lat AND max_y >= min_lon AND min_y <= max_lon""",
+)
+
+
+@query("segment_box_pairs", SEGMENT_PAIRS)
+def segment_box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which segments' bounds overlap which boxes."""
+    segments = stored_layout(spark, sf_dir, "Grid Segments")
+    pairs = match_segments(segments, customer_boxes(spark, sf_dir))
+    return pairs.select("box_id", "entity_id", "segment_id")
+
+
+@query("segment_box_pairs_hot", SEGMENT_PAIRS)
+def segment_box_pairs_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with crowded cells dealt out in pieces of a few rows."""
+    segments = stored_layout(spark, sf_dir, "Grid Segments")
+    pairs = match_segments(segments, customer_boxes(spark, sf_dir), hot_rows=25)
+    return pairs.select("box_id", "entity_id", "segment_id")
+
+
+@query(
+    "bbox_batch_segments",
+    with_(
+        GRID_ALL,
+        CUSTOMER_BOXES,
+        """
+SELECT box_id, entity_id, lat, lon, "timestamp" FROM (
+  SELECT *, row_number() OVER (
+           PARTITION BY box_id, entity_id, round_even(lat * 1e6, 0), round_even(lon * 1e6, 0)
+           ORDER BY segment_id, place) AS copy
+  FROM members JOIN boxes ON lat BETWEEN min_lat AND max_lat
+                         AND lon BETWEEN min_lon AND max_lon)
+WHERE copy = 1""",
+    ),
+)
+def batch_boxes_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = stored_layout(spark, sf_dir, "Grid Segments")
+    return bbox_batch_segments(segments, customer_boxes(spark, sf_dir))
+
+
 # -------------------------------------------------------------------- segments
 
 

@@ -31,7 +31,7 @@ _WORD = 64
 # for the sake of a few cells.
 STORED_LEVELS = (10, 6, 4, 2)
 # metres of slack for rounding in cell edges and distances
-_SLACK = 1e-3
+SLACK_M = 1e-3
 
 
 def _located(df: DataFrame) -> DataFrame:
@@ -98,10 +98,10 @@ def _cell_radius(level: int) -> float:
     """Metres no position of a cell is farther from the cell's centre: a straight
     line in degrees is never shorter than the arc."""
     half_diagonal = math.radians(BASE_DEGREES * 2**level * math.sqrt(2) / 2)
-    return EARTH_RADIUS_M * half_diagonal + _SLACK
+    return EARTH_RADIUS_M * half_diagonal + SLACK_M
 
 
-def _globe_cells(level: int) -> list[tuple[int, int]]:
+def globe_cells(level: int) -> list[tuple[int, int]]:
     size = BASE_DEGREES * 2**level
     rows = range(math.floor(-90 / size), math.floor(90 / size) + 1)
     columns = range(math.floor(-180 / size), math.floor(180 / size) + 1)
@@ -137,7 +137,7 @@ def candidate_cells(pyramid: DataFrame, queries: DataFrame, k: int) -> DataFrame
         size = F.lit(BASE_DEGREES * 2**level)
         if level == LEVELS[-1]:
             # every cell of the globe, a fixed few
-            offsets, ci, cj = _globe_cells(level), F.col("_di"), F.col("_dj")
+            offsets, ci, cj = globe_cells(level), F.col("_di"), F.col("_dj")
         else:
             side = range(2**LEVEL_STEP)
             offsets = [(di, dj) for di in side for dj in side]

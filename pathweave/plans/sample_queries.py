@@ -22,6 +22,7 @@ from pathweave.operators.compare import compare_knn, layout_parity
 from pathweave.operators.extent import point_extent, segment_extent, with_cells
 from pathweave.operators.index import fixed_index, grid_index
 from pathweave.operators.knn_batch import knn_batch
+from pathweave.operators.knn_batch_segments import knn_batch_segments
 from pathweave.operators.profile import layout_profile
 from pathweave.operators.ordering import renumber
 from pathweave.operators.rectangle_join import bbox_batch_segments, match_segments
@@ -1046,29 +1047,42 @@ def knn_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("distance", F.round("distance", 1))
 
 
-@query(
-    "knn_batch",
-    with_(
-        ROWS,
-        """
+BATCH_KNN = with_(
+    ROWS,
+    """
 asked AS (
   SELECT s_suppkey AS query_id, 39.98e0 + (s_suppkey % 97) / 2000e0 AS q_lat,
          116.305e0 + (s_suppkey % 53) / 3000e0 AS q_lon FROM supplier),
 positions AS (SELECT min(traj_id) AS traj_id, lat, lon FROM pts GROUP BY lat, lon)""",
-        f"""
+    f"""
 SELECT query_id, CAST(rank AS INTEGER) AS rank, traj_id, lat, lon, distance FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id
                                ORDER BY distance, lat, lon) AS rank
   FROM (SELECT *, {micro_sql(metres_sql('q_lat', 'q_lon', 'lat', 'lon'))} AS distance
         FROM asked, positions))
 WHERE rank <= {K}""",
-    ),
 )
+
+
+@query("knn_batch", BATCH_KNN)
 def batch_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, asked = lineitem_rows(spark, sf_dir), supplier_queries(spark, sf_dir)
     return rounded(knn_batch(rows, asked, K))
 
 
+@query("knn_batch_segments", BATCH_KNN)
+def batch_knn_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers from segments, of which only those near a query are opened."""
+    segments = stored_layout(spark, sf_dir, "Grid Segments")
+    return rounded(knn_batch_segments(segments, supplier_queries(spark, sf_dir), K))
+
+
+@query("knn_batch_fixed_segments", BATCH_KNN)
+def batch_knn_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = stored_layout(spark, sf_dir, "Fixed Segments")
+    return rounded(knn_batch_segments(segments, supplier_queries(spark, sf_dir), K))
+
+
 # --------------------------------------------------------------------- reports
 
 

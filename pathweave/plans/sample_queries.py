@@ -39,8 +39,18 @@ from pathweave.plans.table_views import (
 )
 from pathweave.schemas import SEGMENTS, BBox
 from pathweave.session import shared_folder, stored_table
-from pathweave.sources.geoparquet import without_geometry
-from pathweave.sources.raw_logs import is_complete, parse_lines
+from pathweave.sources.geoparquet import (
+    read_geoparquet,
+    without_geometry,
+    write_geoparquet,
+)
+from pathweave.sources.raw_logs import (
+    is_complete,
+    parse_lines,
+    read_malformed_lines,
+    read_raw_logs,
+    write_log_lines,
+)
 from pathweave.sources.results import append_run, read_runs
 from pathweave.sources.segments import scan_segments
 
@@ -317,6 +327,43 @@ def raw_logs_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logged_points(spark, sf_dir)
 
 
+LOGGED = with_(
+    ROWS,
+    "SELECT '007' AS user_id, traj_id, seq, lat, lon, altitude, \"timestamp\" FROM pts",
+)
+
+
+def log_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The view as files of raw logs below the shared folder."""
+    root = shared_folder(spark, "raw-logs")
+    write_log_lines(log_lines(spark, sf_dir), root)
+    return root
+
+
+@query("raw_logs_files", LOGGED)
+def raw_logs_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs from files that are read whole."""
+    return read_raw_logs(spark, log_folder(spark, sf_dir))
+
+
+@query("raw_logs_large_files", LOGGED)
+def raw_logs_large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs from files of which nearly all are too large to be read whole."""
+    return read_raw_logs(spark, log_folder(spark, sf_dir), whole_file_bytes=2000)
+
+
+@query(
+    "raw_logs_malformed_files",
+    with_(
+        ROWS,
+        "SELECT traj_id, 2 * seq + 7 AS line_no FROM pts WHERE seq % 7 IN (3, 5)",
+    ),
+)
+def raw_logs_malformed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = read_malformed_lines(spark, log_folder(spark, sf_dir))
+    return bad.select(F.regexp_extract("path", r"([^/]+)\.plt$", 1).alias("traj_id"), "line_no")
+
+
 @query("raw_logs_fixed_segments", with_(FIXED, MEMBER_ROWS))
 def raw_logs_fixed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members(segmentation.fixed_segments(logged_points(spark, sf_dir)))
@@ -507,6 +554,15 @@ def bbox_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbox.bbox_points(without_geometry(points), BOX).select(*POINT_COLUMNS)
 
 
+@query("bbox_geo_files", with_(ROWS, first_in_box_sql(in_box_sql(BOX))))
+def bbox_geo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of many GeoParquet files only those whose bounds meet the box."""
+    path = shared_folder(spark, "geo-files")
+    write_geoparquet(lineitem_points(spark, sf_dir), path, partitions=16)
+    points = read_geoparquet(spark, path, BOX)
+    return bbox.bbox_points(without_geometry(points), BOX).select(*POINT_COLUMNS)
+
+
 @query(
     "geo_geometry",
     with_(

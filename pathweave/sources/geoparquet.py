@@ -1,7 +1,8 @@
 """GeoParquet points: a Python data source for writing, plain Parquet for reading.
 
 Spark's own Parquet writer cannot add the ``geo`` footer entry, so the sink
-streams Arrow batches of each task through one Parquet writer.
+streams Arrow batches of each task through one Parquet writer. Reading by a box leaves
+out files whose bounds miss it before any of them is opened.
 """
 
 from __future__ import annotations
@@ -28,6 +29,14 @@ from pyspark.sql.datasource import (
 from pathweave.functions.predicates import point_in_box
 from pathweave.functions.wkb import encode_points
 from pathweave.schemas import GEO, BBox
+from pathweave.sources.geo_files import (
+    ENTRIES,
+    add_entry,
+    data_files,
+    entries,
+    files_meeting,
+    place,
+)
 from pathweave.sources.points import clustered_points
 
 FORMAT = "geopoints"
@@ -86,11 +95,18 @@ def _footer(bounds: list[float] | None) -> bytes:
 @dataclass
 class _Written(WriterCommitMessage):
     parts: list[str] = field(default_factory=list)
+    bounds: list[float] | None = None
 
 
 class GeoPointsWriter(DataSourceArrowWriter):
     """Each task writes one file to a hidden folder; commit moves the files of
-    successful tasks into place, so retried or lost tasks leave nothing behind."""
+    successful tasks into place, so retried or lost tasks leave nothing behind.
+
+    An overwrite counts from the moment its entry (see ``geo_files``) is there: a crash
+    before leaves the old version, one after it the new, though files of the other may
+    still lie around until the next overwrite. The marker of the old version goes
+    first, so that readers that only know the marker don't take a mix for finished.
+    """
 
     def __init__(self, options: dict[str, str], overwrite: bool) -> None:
         self.path = options["path"]
@@ -100,16 +116,11 @@ class GeoPointsWriter(DataSourceArrowWriter):
         self.overwrite = overwrite
         self.job = uuid.uuid4().hex
 
-    def _place(self) -> tuple[pafs.FileSystem, str]:
-        if "://" in self.path or self.path.startswith("file:"):
-            return pafs.FileSystem.from_uri(self.path)
-        return pafs.LocalFileSystem(), self.path
-
     def _hidden(self, base: str) -> str:
         return posixpath.join(base, f"_writing-{self.job}")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        fs, base = self._place()
+        fs, base = place(self.path)
         name = f"part-{uuid.uuid4().hex}.{self.compression}.parquet"
         target = posixpath.join(self._hidden(base), name)
         writer: pq.ParquetWriter | None = None
@@ -151,7 +162,7 @@ class GeoPointsWriter(DataSourceArrowWriter):
         bounds = [*lo, *hi] if lo[0] <= hi[0] and lo[1] <= hi[1] else None
         writer.add_key_value_metadata({b"geo": _footer(bounds)})
         writer.close()
-        return _Written([name])
+        return _Written([name], bounds)
 
     @staticmethod
     def _with_geometry(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -162,28 +173,28 @@ class GeoPointsWriter(DataSourceArrowWriter):
         )
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        fs, base = self._place()
+        fs, base = place(self.path)
         fs.create_dir(base, recursive=True)
-        old: list[str] = []
-        if self.overwrite:
-            selector = pafs.FileSelector(base, recursive=False)
-            old = [
-                info.path
-                for info in fs.get_file_info(selector)
-                if info.is_file and info.base_name.endswith(".parquet")
-            ]
+        before, marker = entries(fs, base), posixpath.join(base, "_SUCCESS")
+        files = {name: m.bounds for m in messages if m is not None for name in m.parts}
+        old = data_files(fs, base) if self.overwrite else []
+        if self.overwrite and fs.get_file_info(marker).type == pafs.FileType.File:
+            fs.delete_file(marker)
         hidden = self._hidden(base)
-        for message in messages:
-            for name in message.parts if message is not None else []:
-                fs.move(posixpath.join(hidden, name), posixpath.join(base, name))
-        for path in old:
-            fs.delete_file(path)
+        for name in files:
+            fs.move(posixpath.join(hidden, name), posixpath.join(base, name))
+        add_entry(fs, base, self.job, files, sorted(before) if self.overwrite else [], not self.overwrite)
         self._drop_hidden(fs, hidden)
-        with fs.open_output_stream(posixpath.join(base, "_SUCCESS")):
+        with fs.open_output_stream(marker):
             pass
+        if self.overwrite:
+            for name in old:
+                fs.delete_file(posixpath.join(base, name))
+            for job in before:
+                fs.delete_file(posixpath.join(base, ENTRIES, f"{job}.json"))
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        fs, base = self._place()
+        fs, base = place(self.path)
         self._drop_hidden(fs, self._hidden(base))
 
     @staticmethod
@@ -194,7 +205,13 @@ class GeoPointsWriter(DataSourceArrowWriter):
 
 class GeoPoints(DataSource):
     """``df.write.format("geopoints").option("path", ...)``; options
-    ``compression`` and ``row_group_size`` (rows)."""
+    ``compression`` and ``row_group_size`` (rows).
+
+    It only writes. A reader that takes the filters of a query would be unsafe: Spark
+    4.1 keeps what was pushed last for every later use of the same DataFrame, so a
+    query without such filters then misses rows. ``read_geoparquet`` takes the box
+    instead and leaves the scan to Spark's own Parquet reader.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -234,9 +251,15 @@ def write_geoparquet(
 def read_geoparquet(
     spark: SparkSession, path: str, box: BBox | None = None
 ) -> DataFrame:
-    """GeoParquet points with ``geometry`` as WKB; the box comparisons on the
-    plain coordinates are pushed into the scan."""
-    points = spark.read.parquet(path)
+    """GeoParquet points with ``geometry`` as WKB.
+
+    With a box only files whose bounds meet it are listed at all, and the comparisons
+    on the plain coordinates are pushed into the scan of these.
+    """
+    files = files_meeting(spark, path, box)
+    if files is not None and not files:
+        return spark.read.parquet(path).limit(0)
+    points = spark.read.parquet(*([path] if files is None else files))
     return points if box is None else points.where(point_in_box(box))
 
 

@@ -6,11 +6,17 @@ A log has six header lines, then comma-separated rows of which fields 0, 1, 3,
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathweave.functions.scalars import parse_log_time
 from pathweave.operators.ordering import renumber
+from pathweave.sources.geo_files import place
 
 HEADER_LINES = 6
 LOG_GLOB = "*/Trajectory/*.plt"
@@ -65,6 +71,43 @@ def _large_file_lines(spark: SparkSession, path: str, limit: int) -> DataFrame:
     )
 
 
+def write_log_lines(lines: DataFrame, root: str) -> int:
+    """Files below ``root`` from ``(path, line_no, line)``, one for each path; how many.
+
+    Only the last three parts of a path count (``<user>/Trajectory/<name>``). Lines
+    are streamed into their file in order, so none is held as a whole; a file appears
+    when it is complete, and a repeated task replaces it by the same one. Header lines
+    are lines like any other.
+    """
+    name = F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+)$", 1)
+    rows = lines.select(name.alias("name"), "line_no", "line").repartition("name").sortWithinPartitions("name", "line_no")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = place(root)
+        held, stream, written = None, None, []
+
+        def finish() -> None:
+            stream.close()
+            fs.move(f"{base}/{held}.{token}", f"{base}/{held}")
+            written.append(held)
+
+        token = f"{uuid.uuid4().hex}.writing"
+        for batch in batches:
+            for name, line in zip(batch.column("name").to_pylist(), batch.column("line").to_pylist()):
+                if name != held:
+                    if held is not None:
+                        finish()
+                    held = name
+                    fs.create_dir(posixpath.dirname(f"{base}/{name}"), recursive=True)
+                    stream = fs.open_output_stream(f"{base}/{name}.{token}")
+                stream.write(f"{line}\n".encode())
+        if held is not None:
+            finish()
+        yield pa.RecordBatch.from_arrays([pa.array(written, pa.string())], names=["name"])
+
+    return rows.mapInArrow(run, "name string").count()
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """``(path, line_no, line)`` to point columns plus ``path, line_no, line``.
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +40,41 @@ def next_run_id(spark: SparkSession, root: str) -> int:
     return max((int(m[1]) for m in numbers if m), default=0) + 1
 
 
+def claim_run_id(spark: SparkSession, root: str) -> int:
+    """The next free run number, taken for the caller alone.
+
+    A number belongs to whoever creates its file below ``_claims``, which only one of
+    several can; the others go on to the next one. A run that fails leaves its number
+    unused.
+    """
+    number = next_run_id(spark, root)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_claims")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    while not _created(spark, fs, f"{folder.toString()}/{number}"):
+        number += 1
+    return number
+
+
+def _created(spark: SparkSession, fs, path: str) -> bool:
+    """Whether this call made the file; False if it was there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if fs.getUri().getScheme() == "file":
+        # Hadoop's local file system first looks and then creates
+        try:
+            os.close(os.open(place.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            return False
+        return True
+    try:
+        fs.create(place, False).close()
+    except Py4JJavaError as error:
+        if fs.exists(place):
+            return False
+        raise error
+    return True
+
+
 def method_slug(name: str) -> str:
     """A display name as a folder name: letters and digits, joined by ``_``."""
     return "_".join(re.findall(r"[a-z0-9]+", name.lower()))
@@ -58,12 +95,13 @@ def append_run(
     results: dict[str, DataFrame], root: str, run_id: int | None = None, fmt: str = "csv"
 ) -> int:
     """Store the named results of one run under
-    ``<columns>/run_id=<n>/method=<name>``: a table for each set of columns."""
+    ``<columns>/run_id=<n>/method=<name>``: a table for each set of columns. Without
+    ``run_id`` a number is claimed that no other run gets."""
     if not results:
         raise ValueError("no results to store")
     spark = next(iter(results.values())).sparkSession
     if run_id is None:
-        run_id = next_run_id(spark, root)
+        run_id = claim_run_id(spark, root)
     for name, result in results.items():
         path = f"{root.rstrip('/')}/{table_folder(result)}"
         write = (

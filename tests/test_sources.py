@@ -1,5 +1,6 @@
 import json
 import struct
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import numpy as np
@@ -27,8 +28,18 @@ from pathweave.sources.points import (
     write_points,
     write_points_csv,
 )
-from pathweave.sources.raw_logs import read_malformed_lines, read_raw_logs
-from pathweave.sources.results import append_run, next_run_id, read_runs, write_result
+from pathweave.sources.raw_logs import (
+    read_malformed_lines,
+    read_raw_logs,
+    write_log_lines,
+)
+from pathweave.sources.results import (
+    append_run,
+    claim_run_id,
+    next_run_id,
+    read_runs,
+    write_result,
+)
 from pathweave.sources.segments import (
     read_foreign_segments,
     read_segments,
@@ -288,7 +299,8 @@ def test_geoparquet(spark, tmp_path):
     assert box.count() == 50
     assert "GreaterThanOrEqual(lat,40.9)" in plan_text(box)
     assert sorted(p.name for p in (tmp_path / "geo").iterdir() if p.name[0] == "_") == [
-        "_SUCCESS"
+        "_SUCCESS",
+        "_files",
     ]
 
 
@@ -398,3 +410,37 @@ def test_clustering_narrows_row_groups(spark, tmp_path):
         frame = pq.read_table(file, columns=["lat", "lon"]).to_pandas()
         widths.append((np.ptp(frame.lat) * np.ptp(frame.lon)))
     assert len(widths) > 8 and np.mean(widths) < 4 / 4
+
+
+def test_written_logs_are_read_back(spark, tmp_path):
+    """Small and large files, blank lines and a log without points among them."""
+    header = [(n, "header") for n in range(6)]
+    logs = {
+        "001/Trajectory/a.plt": [*header, (6, "39.9,116.3,0,100.0,39757.5,2008-11-26,12:00:00"), (7, ""), (8, "bad")],
+        "001/Trajectory/empty.plt": header,
+        "002/Trajectory/a.plt": [*header, *((6 + n, f"40.{n:04},116.3,0,{n}.0,39757.5,2008-11-26,12:00:00") for n in range(900))],
+    }
+    rows = [(f"x:/deep/{p}", n, line) for p, lines in logs.items() for n, line in reversed(lines)]
+    df = spark.createDataFrame(rows, "path string, line_no long, line string").repartition(5)
+    root = str(tmp_path / "logs")
+    assert write_log_lines(df, root) == 3 == write_log_lines(df, root)
+    for path, lines in logs.items():
+        assert (tmp_path / "logs" / path).read_text() == "".join(f"{line}\n" for _, line in lines)
+    assert len([p for p in (tmp_path / "logs").rglob("*") if p.is_file()]) == 3
+    for limit in (10, 1000, 10**6):
+        found = read_raw_logs(spark, root, whole_file_bytes=limit)
+        assert sorted((r.user_id, r.traj_id, r.seq) for r in found.collect()) == [("001", "a", 0), *(("002", "a", n) for n in range(900))]
+
+
+def test_two_runs_never_share_a_number(spark, tmp_path):
+    root = str(tmp_path / "runs")
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda _: claim_run_id(spark, root), range(24)))
+    assert sorted(numbers) == list(range(1, 25))
+    result = spark.createDataFrame([("a", 1.0)], "traj_id string, lat double")
+    with ThreadPoolExecutor(3) as pool:
+        runs = list(pool.map(lambda _: append_run({"x": result}, root), range(3)))
+    assert sorted(runs) == [25, 26, 27]
+    assert read_runs(spark, root, result).count() == 3
+    # a claim is enough, even if nothing was stored under it
+    assert claim_run_id(spark, root) == 28

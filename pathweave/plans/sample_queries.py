@@ -37,7 +37,7 @@ from pathweave.plans.table_views import (
     lineitem_rows,
     supplier_queries,
 )
-from pathweave.schemas import SEGMENTS, BBox
+from pathweave.schemas import SEGMENTS, BBox, GridSpec
 from pathweave.session import shared_folder, stored_table
 from pathweave.sources.geoparquet import (
     read_geoparquet,
@@ -53,6 +53,12 @@ from pathweave.sources.raw_logs import (
 )
 from pathweave.sources.results import append_run, read_runs
 from pathweave.sources.segments import scan_segments
+from pathweave.streaming.live_logs import stream_raw_logs
+from pathweave.streaming.live_segments import (
+    segments_of_members,
+    stream_fixed_members,
+    stream_grid_members,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -364,6 +370,38 @@ def raw_logs_malformed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.select(F.regexp_extract("path", r"([^/]+)\.plt$", 1).alias("traj_id"), "line_no")
 
 
+def arriving_members(spark: SparkSession, sf_dir: str, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Logs that arrive in two pieces, each met by a stream of its own that goes on
+    where the one before stopped; a trajectory's second piece begins anew at line 0."""
+    root, path = shared_folder(spark, "arriving"), shared_folder(spark, "live-members")
+    lines = log_lines(spark, sf_dir)
+    second = F.col("line_no") >= 46
+    pieces = {
+        "a": lines.where(~second),
+        "b": lines.where(second | (F.col("line_no") < 6)).withColumn("line_no", F.when(second, F.col("line_no") - 40).otherwise(F.col("line_no"))),
+    }
+    for name, piece in pieces.items():
+        write_log_lines(piece, f"{root}/{name}")
+        points = stream_raw_logs(spark, root, "*/*/Trajectory/*.plt")
+        stream = cut(points).writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{root}/checkpoint")
+        stream.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query("live_fixed_segments", with_(FIXED, MEMBER_ROWS))
+def live_fixed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = arriving_members(spark, sf_dir, lambda p: stream_fixed_members(p, key=("traj_id",)))
+    return members(segments_of_members(found))
+
+
+@query("live_grid_segments", with_(GRID_ALL, MEMBER_ROWS))
+def live_grid_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corner = view_grid(spark, sf_dir).first()
+    grid = GridSpec(corner["min_lat"], corner["min_lon"], CELL)
+    found = arriving_members(spark, sf_dir, lambda p: stream_grid_members(p, grid, CELL, key=("traj_id",)))
+    return members(segments_of_members(found))
+
+
 @query("raw_logs_fixed_segments", with_(FIXED, MEMBER_ROWS))
 def raw_logs_fixed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members(segmentation.fixed_segments(logged_points(spark, sf_dir)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
@@ -28,6 +29,13 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def numbered_columns(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with its columns named by number, so that none has the name of a column
+    that an operator adds, and the new name of the text."""
+    names = [f"_column_{n}" for n in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index(text_col)]
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` holds about ``limit`` bytes in each piece
     (one row at least), which bounds what NumPy has to hold at once."""
@@ -58,6 +66,23 @@ def worker_state(key: object, make: Callable[[], object]) -> object:
     return held[1]
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, after which the worker gives back what it has freed.
+
+    A worker lives on for tasks of other operators; without this the pages that large
+    arrays have left behind stay with it.
+    """
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return tidy
+
+
 def batch_of(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [x if isinstance(x, pa.Array) else pa.array(x, type=schema.field(n).type) for n, x in ((f.name, columns[f.name]) for f in schema)],

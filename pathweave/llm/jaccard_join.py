@@ -12,7 +12,10 @@ shingle of a prefix has a list of sets, and only sets of one list are compared.
   positions of their sets, so pairs of blocks that can't link are skipped whole.
 * Of what is left, an overlap with a set near a centre follows within bounds from the
   centre's own overlap and the difference between the two; only pairs that the bounds
-  leave open are computed.
+  leave open are looked at.
+* A set has an outline, the counts of its shingles in about as many buckets as it has
+  shingles. Where two outlines differ in d places, at least d shingles are in one set
+  only; texts are compared of the pairs alone whose outlines leave room for a link.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.llm.common import batch_of, bit_filter, has_bit, slices, stage_table, texts_of
+from pathweave.llm.common import batch_of, bit_filter, has_bit, slices, stage_table, texts_of, tidied
 from pathweave.llm.components import stars
 
 SHINGLE = 4
@@ -86,6 +89,29 @@ def _mixed(state: np.ndarray, value: np.ndarray) -> np.ndarray:
     return state * np.uint64(0xD6E8FEB86659FD93)
 
 
+#: Buckets of the smallest and the largest outline, as powers of two.
+OUTLINE_BITS = (4, 14)
+
+
+def outline(own: np.ndarray) -> bytes:
+    """Counts of shingles by the upper bits of their hash; empty (which bounds nothing)
+    where a count exceeds a byte."""
+    bits = min(max(len(own).bit_length(), OUTLINE_BITS[0]), OUTLINE_BITS[1])
+    counts = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def most_common(n_x: int, x: bytes, n_y: int, y: bytes) -> int:
+    """An upper bound of what two sets share, by their outlines. The longer outline is
+    folded to the length of the other: buckets by upper bits add up in neighbours."""
+    if not x or not y:
+        return min(n_x, n_y)
+    x, y = sorted((np.frombuffer(x, dtype=np.uint8).astype(np.int32), np.frombuffer(y, dtype=np.uint8).astype(np.int32)), key=len)
+    if len(y) > len(x):
+        y = y.reshape(len(x), -1).sum(axis=1)
+    return min((n_x + n_y - int(np.abs(x - y).sum())) // 2, n_x, n_y)
+
+
 def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
     """So many of the first shingles meet those of any set it links with."""
     return n - -(-threshold * n // 100) + 1 if n else 0
@@ -132,7 +158,7 @@ def _common_shingles(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray
         if len(top):
             yield batch_of(schema, token=held[top].view(np.int64), n=counts[top])
 
-    counted = rows.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(tidied(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     found = counted.orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
     hashes = found.column("token").to_numpy().view(np.uint64)
     ranks = np.arange(len(hashes))[::-1]
@@ -140,13 +166,14 @@ def _common_shingles(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray
     return hashes[order], ranks[order]
 
 
-_SETS_DDL = "doc_id long, n long, key binary, prefix array<long>"
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+_SETS_DDL = "doc_id long, n long, key binary, prefix array<long>, outline binary"
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("prefix", pa.list_(pa.int64())), ("outline", pa.binary())])
 
 
 def _prefixes(rows: DataFrame, size: int, threshold: int) -> DataFrame:
-    """One row a document: size and hash of its set, and its prefix in order. Within a
-    task the prefix of equal sets is given once, with a row that has an id."""
+    """One row a document: size and hash of its set, its prefix in order, and its
+    outline. Within a task the latter two are given once for equal sets, with a row that
+    has an id."""
     common, ranks = _common_shingles(rows, size)
     shared = rows.sparkSession.sparkContext.broadcast((common, ranks))
 
@@ -156,16 +183,18 @@ def _prefixes(rows: DataFrame, size: int, threshold: int) -> DataFrame:
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), size)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            prefixes = []
+            prefixes, outlines = [], []
             for own, key, named in zip(sets, keys, batch.column("doc_id").is_valid().to_pylist()):
                 if not named or key in met or not len(own):
                     prefixes.append(None)
+                    outlines.append(None)
                 else:
                     met.add(key)
                     prefixes.append(_ordered(own, *table)[: prefix_length(len(own), threshold)].view(np.int64))
-            yield batch_of(_SETS, doc_id=batch.column("doc_id"), n=[len(s) for s in sets], key=keys, prefix=prefixes)
+                    outlines.append(outline(own))
+            yield batch_of(_SETS, doc_id=batch.column("doc_id"), n=[len(s) for s in sets], key=keys, prefix=prefixes, outline=outlines)
 
-    return rows.mapInArrow(run, _SETS_DDL)
+    return rows.mapInArrow(tidied(run), _SETS_DDL)
 
 
 def _sizes_allow(n1: Column, n2: Column, threshold: int) -> Column:
@@ -182,20 +211,43 @@ def _positions_allow(n1, p1, n2, p2, threshold: int) -> Column:
     return 1 + F.least(n1 - p1, n2 - p2) - 1 >= _least_overlap(n1, n2, threshold)
 
 
-def _overlaps(pairs: DataFrame, rows: DataFrame, size: int, threshold: int, name: str) -> DataFrame:
-    """(a, b, n_a, n_b, common, linked) of the pairs. Texts of the documents that stand
-    in a pair meet by joins that split hot keys; they take less room than their sets,
-    which are only made where both have met.
+_KNOWN_DDL = "a long, b long, n_a long, n_b long, low long, high long, linked boolean"
+_KNOWN = pa.schema([*((c, pa.int64()) for c in ("a", "b", "n_a", "n_b", "low", "high")), ("linked", pa.bool_())])
+
+
+def _outlined(pairs: DataFrame, outlines: DataFrame, threshold: int, name: str) -> DataFrame:
+    """The pairs (a, b) with bounds (low, high) of what their sets share by their
+    outlines; ``linked`` is false where that leaves no room for a link and null where it
+    does, or where one of the two is no single set."""
+    first = outlines.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("outline").alias("of_b"))
+    second = outlines.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("outline").alias("of_a"))
+    met = pairs.select("a", "b").join(first, "b", "left").join(second, "a", "left")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "of_b"):
+            n_a, n_b, of_a, of_b = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "of_a", "of_b"))
+            high = [None if x is None or y is None else most_common(n, x, m, y) for n, m, x, y in zip(n_a, n_b, of_a, of_b)]
+            hopeless = [c is not None and 100 * c < threshold * (n + m - c) for c, n, m in zip(high, n_a, n_b)]
+            yield batch_of(_KNOWN, a=batch.column("a"), b=batch.column("b"), n_a=n_a, n_b=n_b, low=[0 if h else None for h in hopeless], high=high, linked=[False if h else None for h in hopeless])
+
+    return stage_table(met.select("a", "b", "n_a", "n_b", "of_a", "of_b").mapInArrow(tidied(bound), _KNOWN_DDL), name)
+
+
+def _overlaps(pairs: DataFrame, rows: DataFrame, outlines: DataFrame, size: int, threshold: int, name: str) -> DataFrame:
+    """(a, b, n_a, n_b, low, high, linked) of the pairs: bounds of what the two share,
+    equal ones wherever there is room for a link. Only texts of such pairs meet, by
+    joins that split hot keys; they take less room than their sets, which are made
+    where both have met.
 
     A repeated pair of ids comes up once for each pair of their texts.
     """
+    bounded = _outlined(pairs, outlines, threshold, f"{name}-outlined")
+    pairs = bounded.where("linked IS NULL")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
-    shared = rows.sparkSession.sparkContext.broadcast(bit_filter(ids, "doc_id"))
-    texts = has_bit(rows, "doc_id", shared)
+    texts = has_bit(rows, "doc_id", rows.sparkSession.sparkContext.broadcast(bit_filter(ids, "doc_id")))
     first = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("of_b"))
     second = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("of_a"))
     met = pairs.select("a", "b").join(first, "b").join(second, "a")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("common", pa.int64()), ("linked", pa.bool_())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "of_b"):
@@ -210,9 +262,10 @@ def _overlaps(pairs: DataFrame, rows: DataFrame, size: int, threshold: int, name
                 rows.append((common, 100 * common >= threshold * (len(x) + len(y) - common)))
             common, linked = map(list, zip(*rows)) if rows else ([], [])
             n_a, n_b = ([len(sets[k]) for k in own] for own in places)
-            yield batch_of(schema, a=batch.column("a"), b=batch.column("b"), n_a=n_a, n_b=n_b, common=common, linked=linked)
+            yield batch_of(_KNOWN, a=batch.column("a"), b=batch.column("b"), n_a=n_a, n_b=n_b, low=common, high=common, linked=linked)
 
-    return stage_table(met.select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long, n_a long, n_b long, common long, linked boolean"), name)
+    compared = stage_table(met.select("a", "b", "of_a", "of_b").mapInArrow(tidied(compare), _KNOWN_DDL), name)
+    return compared.unionByName(bounded.where("NOT linked"))
 
 
 def _lists(sets: DataFrame, heads: DataFrame) -> DataFrame:
@@ -243,9 +296,9 @@ def _stars(lists: DataFrame, centres: DataFrame, threshold: int) -> DataFrame:
 
 def _measured(lists: DataFrame, centres: DataFrame, known: DataFrame) -> DataFrame:
     """``lists`` with ``beside``, the most shingles that a set may have beside the centre
-    of its list, and ``shared``, the most that it may share with it: as computed, or as
-    wide as can be where nothing was."""
-    overlaps = known.groupBy("a", "b").agg(F.min("common").alias("low"), F.max("common").alias("high"))
+    of its list, and ``shared``, the most that it may share with it: as known, or as
+    wide as can be where nothing is."""
+    overlaps = known.groupBy("a", "b").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     placed = lists.join(centres.select("token", "centre"), "token", "left").withColumns({"a": F.greatest("node", "centre"), "b": F.least("node", "centre")})
     own = F.col("node") == F.col("centre")
     low = F.when(own, F.col("n")).otherwise(F.coalesce("low", F.lit(0)))
@@ -290,7 +343,7 @@ def _block_pairs(lists: DataFrame, threshold: int) -> DataFrame:
         "others",
         lambda y: _sizes_allow(F.col("x.n"), y["n"], threshold)
         & _positions_allow(F.col("x.n"), F.col("x.place"), y["n"], y["place"], threshold)
-        & (F.least(F.col("x.shared") + y["beside"], y["shared"] + F.col("x.beside")) >= _least_overlap(F.col("x.n"), y["n"], threshold)),
+        & (F.least(F.col("x.shared") + y["beside"], y["shared"] + F.col("x.beside")) >= _least_overlap(F.col("x.n"), y["n"], threshold))
     )
     two = one.select("x", F.explode(others).alias("y"))
     x, y = (lambda f: F.col(f"x.{f}")), (lambda f: F.col(f"y.{f}"))
@@ -305,11 +358,11 @@ def _derived(pairs: DataFrame, known: DataFrame, several: DataFrame, threshold:
     """The pairs that what is known leaves open: for x near a centre c with known
     overlaps, common(x, y) <= common(c, y) + |x| - common(x, c). Overlaps are known by
     id, so that this says nothing of an x in ``several``, the ids with several sets."""
-    both = known.select("a", "b", "n_a", "n_b", "common", "linked").union(known.select("b", "a", "n_b", "n_a", "common", "linked"))
-    gap = F.struct((F.col("n_a") - F.col("common")).alias("gap"), F.col("b").alias("centre"))
+    both = known.select("a", "b", "n_a", "n_b", "low", "high", "linked").union(known.select("b", "a", "n_b", "n_a", "low", "high", "linked"))
+    gap = F.struct((F.col("n_a") - F.col("low")).alias("gap"), F.col("b").alias("centre"))
     single = both.where("linked").join(several.select(F.col("doc_id").alias("a")), "a", "left_anti")
     nearest = single.groupBy("a").agg(F.min(gap).alias("g")).select(F.col("a").alias("x"), F.col("g.centre").alias("centre"), F.col("g.gap").alias("gap"))
-    overlaps = both.groupBy(F.col("a").alias("centre"), F.col("b").alias("y")).agg(F.max("common").alias("near"))
+    overlaps = both.groupBy(F.col("a").alias("centre"), F.col("b").alias("y")).agg(F.max("high").alias("near"))
     left = pairs
     for x, y in (("a", "b"), ("b", "a")):
         left = left.join(nearest.withColumnRenamed("x", x), x, "left").join(overlaps.withColumnRenamed("y", y), ["centre", y], "left")
@@ -340,7 +393,11 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, id_co
     alike = real.join(same, "doc_id", "left_semi").join(heads, "key").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     edges = stage_table(alike, "same-ids")
     texts = rows.where("doc_id IS NOT NULL")
-    lists = _lists(real.where("prefix IS NOT NULL"), heads)
+    given = real.where("prefix IS NOT NULL")
+    lists = _lists(given, heads)
+    # several tasks may have met a set; an id with several sets has no outline
+    drawn = given.groupBy("key").agg(F.first("n").alias("n"), F.first("outline").alias("outline")).join(heads, "key")
+    outlines = stage_table(drawn.join(same.select(F.col("doc_id").alias("node")), "node", "left_anti").select("node", "n", "outline"), "outlines")
     known = None
     labels = None
     before = float("inf")
@@ -349,7 +406,7 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, id_co
         stars_of = _stars(lists, centres, threshold)
         if known is not None:
             stars_of = stars_of.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        found = _overlaps(stage_table(stars_of, "stars"), texts, size, threshold, "overlaps")
+        found = _overlaps(stage_table(stars_of, "stars"), texts, outlines, size, threshold, "overlaps")
         known = found if known is None else known.unionByName(found)
         labels = stars(known.where("linked").select("a", "b").union(edges))
         lists = _open_lists(lists, labels)
@@ -360,7 +417,7 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, id_co
         before = total.pairs
     if total.n:
         left = stage_table(_derived(stage_table(_block_pairs(_measured(lists, centres, known), threshold), "block-pairs"), known, same, threshold), "open-pairs")
-        found = _overlaps(left, texts, size, threshold, "overlaps")
+        found = _overlaps(left, texts, outlines, size, threshold, "overlaps")
         if not found.where("linked").isEmpty():
             merged = found.where("linked").select("a", "b").union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
             labels = stars(merged)

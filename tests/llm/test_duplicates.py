@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +153,21 @@ def test_components(spark):
     assert rows_of(found, "node", "component") == [*((i, 0) for i in range(41)), (100, 100), (101, 100), (103, 100)]
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert found.select(F.max("node")).first()[0] == 103
+
+
+def test_outlines_bound_what_two_sets_share():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        n, m, both = (int(x) for x in rng.integers(1, 900, size=3))
+        own = rng.integers(0, 2**64, size=n + m + both, dtype=np.uint64)
+        if rng.random() < 0.2:
+            own >>= np.uint64(50)
+        x, y = np.unique(own[: n + both]), np.unique(own[n:])
+        common = len(np.intersect1d(x, y))
+        bound = jaccard_join.most_common(len(x), jaccard_join.outline(x), len(y), jaccard_join.outline(y))
+        assert common <= bound <= min(len(x), len(y))
+    same = np.arange(400, dtype=np.uint64)
+    assert jaccard_join.outline(same) == b"" and jaccard_join.most_common(400, b"", 300, b"x" * 16) == 300
+    # apart sets of equal size are told apart
+    x, y = (np.unique(rng.integers(0, 2**64, size=500, dtype=np.uint64)) for _ in range(2))
+    assert jaccard_join.most_common(500, jaccard_join.outline(x), 500, jaccard_join.outline(y)) < 0.6 * 500

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathweave.llm.common import slices, texts_of
+from pathweave.llm.common import numbered_columns, slices, texts_of
 from pathweave.session import stored_table
 
 SPAN = 13
@@ -252,6 +252,8 @@ def find_hits(
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
-    found = _searched(docs, benchmark, text_col, block_words)
-    return found.where(~_contaminated(F.expr(_N_HIT), F.col(_WORDS))).select(*docs.columns)
+    """The rows of ``docs`` that are not contaminated, with all their columns, which may
+    have any names."""
+    plain, text = numbered_columns(docs, text_col)
+    found = _searched(plain, benchmark, text, block_words)
+    return found.where(~_contaminated(F.expr(_N_HIT), F.col(_WORDS))).select(*plain.columns).toDF(*docs.columns)

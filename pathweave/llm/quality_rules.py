@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathweave.llm.common import slices, texts_of
+from pathweave.llm.common import numbered_columns, slices, texts_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -166,5 +166,7 @@ def judge(docs: DataFrame, policy: str = DEFAULT_POLICY, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, policy: str = DEFAULT_POLICY, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns, without a shuffle."""
-    return _entered(docs, text_col).where(passes(policy, _OWN + "failed")).select(*docs.columns)
+    """The rows of ``docs`` that pass, with all their columns, without a shuffle. Columns
+    may have any names."""
+    plain, text = numbered_columns(docs, text_col)
+    return _entered(plain, text).where(passes(policy, _OWN + "failed")).select(*plain.columns).toDF(*docs.columns)

@@ -41,3 +41,16 @@ def test_stages_keep_the_columns(spark, sf_dir):
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns and out.count() <= docs.count(), name
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_stages_take_columns_of_any_name(spark, sf_dir):
+    """Names that operators use themselves, a null id and repeated rows."""
+    docs = table(spark, sf_dir, "documents").where("doc_id < 12")
+    extra = {"_hit_words": "1", "_hit_items": "2", "_hit_ranges": "'r'", "_ledger_n_words": "3", "_ledger_failed": "4", "node": "5", "component_id": "6", "_column_0": "7"}
+    wide = docs.selectExpr("*", *(f"{v} AS {k}" for k, v in extra.items()))
+    wide = wide.union(wide.limit(3)).union(wide.selectExpr("CAST(NULL AS LONG) AS doc_id", *wide.columns[1:]).limit(2))
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, wide, sf_dir)
+        assert out.columns == wide.columns, name
+        rows = [tuple(r)[5:] for r in out.collect()]
+        assert rows and set(rows) == {(1, 2, "r", 3, 4, 5, 6, 7)}, name

@@ -38,8 +38,9 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    """Pieces of all documents in sequences of 4096 tokens. Workers keep few chunks in
+    mind, as they still hold what the stages before have left."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, cache_chunks=100_000)
 
 
 STAGES = [

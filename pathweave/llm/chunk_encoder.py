@@ -47,11 +47,11 @@ class ChunkEncoder:
     """``encode(texts)``: little-endian ids as bytes (two bytes an id while the
     vocabulary allows, ``width`` tells), or with ``counts`` their number.
 
-    Memory is bounded: two generations of ``CACHE_CHUNKS`` chunks, none of them
+    Memory is bounded: two generations of ``cache_chunks`` chunks, none of them
     longer than ``LONG_CHUNK`` characters, and the given ``known`` table.
     """
 
-    def __init__(self, file: str, counts: bool = False, known: dict | None = None):
+    def __init__(self, file: str, counts: bool = False, known: dict | None = None, cache_chunks: int = CACHE_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -61,7 +61,7 @@ class ChunkEncoder:
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         size = max(vocabulary.values(), default=0) + 1
         self.width = 2 if size <= 1 << 16 else 4
-        self.counts = counts
+        self.counts, self.cache_chunks = counts, cache_chunks
         with open(file, encoding="utf-8") as lines:
             self.mode, self.special = _mode(json.load(lines))
         self.edge = np.zeros(size, dtype=bool)
@@ -115,7 +115,7 @@ class ChunkEncoder:
             out[n] = sum(values) if self.counts else b"".join(values)
         for n, value in zip(whole, self._whole([texts[n] for n in whole])):
             out[n] = value
-        if len(cache) > CACHE_CHUNKS:
+        if len(cache) > self.cache_chunks:
             self.cache = _Cache(dict(cache), cache.known)
 
     def _learn(self, chunks: set[str]) -> dict:
@@ -184,6 +184,6 @@ def _mode(spec: dict) -> tuple[str | None, list[str]]:
     return None, special
 
 
-def worker_encoder(file: str, counts: bool = False) -> ChunkEncoder:
+def worker_encoder(file: str, counts: bool = False, cache_chunks: int = CACHE_CHUNKS) -> ChunkEncoder:
     """The encoder of this Python worker, kept over tasks."""
-    return worker_state((f"encoder-{counts}", file), lambda: ChunkEncoder(file, counts))
+    return worker_state((f"encoder-{counts}", file, cache_chunks), lambda: ChunkEncoder(file, counts, cache_chunks=cache_chunks))

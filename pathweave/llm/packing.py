@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.llm.chunk_encoder import worker_encoder
-from pathweave.llm.common import batch_of, slices, texts_of
+from pathweave.llm.chunk_encoder import CACHE_CHUNKS, worker_encoder
+from pathweave.llm.common import batch_of, slices, texts_of, tidied
 
 POOL = 768
 OUT_ROWS = 8_192
@@ -153,6 +153,7 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     prompt_chars_col: str | None = None,
+    cache_chunks: int = CACHE_CHUNKS,
 ) -> DataFrame:
     """Pieces of all documents, each document being its ids and then ``end_id``.
 
@@ -167,7 +168,7 @@ def pack_documents(
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), prompt.alias("prompt"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(tokenizer)
+        encoder = worker_encoder(tokenizer, cache_chunks=cache_chunks)
         end = np.array([end_id], dtype=f"<u{encoder.width}").tobytes()
         packer = Packer(limits)
         first = TaskContext.get().partitionId() * TASK_SEQUENCES
@@ -191,7 +192,7 @@ def pack_documents(
         if rows:
             yield _rows(rows)
 
-    return chosen.mapInArrow(pack, _PIECES)
+    return chosen.mapInArrow(tidied(pack), _PIECES)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -221,4 +222,4 @@ def pack_lengths(examples: DataFrame, limits: Limits, id_col: str = "id", tokens
         if out := as_batch(packer.finish()):
             yield out
 
-    return chosen.mapInArrow(pack, schema)
+    return chosen.mapInArrow(tidied(pack), schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathweave.llm.common import batch_of, slices, texts_of
+from pathweave.llm.common import batch_of, slices, texts_of, tidied
 from pathweave.session import stored_table
 
 # fixed values: the base patterns, their kinds in order, and least lengths
@@ -359,7 +359,7 @@ def mask(docs: DataFrame, crf: Crf | None = None, text_col: str = "text", sign:
             at = batch.schema.get_field_index(text_col)
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, type=batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def hide(text: str, spans: list[tuple[int, int, int]], sign: str) -> str:

@@ -39,9 +39,11 @@ COMMON = 65_536
 TASK_COMMON = 16_384
 BLOCK = 128
 #: Further rounds of centres while lists hold this many times more pairs than sets and
-#: a round at least halves the pairs.
-STAR_ROUNDS = 4
+#: a round takes away some hundredths of the pairs.
+STAR_ROUNDS = 6
 STAR_GAIN = 16
+#: Centres of a list in each further round.
+CENTRES = 4
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -281,9 +283,11 @@ def _lists(sets: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def _centres(lists: DataFrame, turn: int) -> DataFrame:
-    """(token, centre, cn): one set of each list, another one each turn."""
-    rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n")
-    found = lists.groupBy("token").agg(F.min(rank).alias("c"))
+    """(token, centre, cn): one set of each list at first, then up to ``CENTRES``,
+    other ones each turn: the first of each part of the list by a hash."""
+    h = F.xxhash64("node", F.lit(turn))
+    slot = F.pmod(F.shiftright(h, 32), F.lit(CENTRES if turn else 1))
+    found = lists.groupBy("token", slot.alias("slot")).agg(F.min(F.struct(h.alias("h"), "node", "n")).alias("c"))
     return found.select("token", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"))
 
 
@@ -299,7 +303,8 @@ def _measured(lists: DataFrame, centres: DataFrame, known: DataFrame) -> DataFra
     of its list, and ``shared``, the most that it may share with it: as known, or as
     wide as can be where nothing is."""
     overlaps = known.groupBy("a", "b").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    placed = lists.join(centres.select("token", "centre"), "token", "left").withColumns({"a": F.greatest("node", "centre"), "b": F.least("node", "centre")})
+    own = centres.groupBy("token").agg(F.min("centre").alias("centre"))
+    placed = lists.join(own, "token", "left").withColumns({"a": F.greatest("node", "centre"), "b": F.least("node", "centre")})
     own = F.col("node") == F.col("centre")
     low = F.when(own, F.col("n")).otherwise(F.coalesce("low", F.lit(0)))
     high = F.when(own, F.col("n")).otherwise(F.coalesce("high", F.col("n")))
@@ -412,7 +417,7 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, id_co
         lists = _open_lists(lists, labels)
         per_list = lists.groupBy("token", "part").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.col("count") ** 2).alias("own"))
         total = per_list.agg(F.sum("n").alias("n"), F.sum((F.col("n") ** 2 - F.col("own")) / 2).alias("pairs")).first()
-        if not total.n or total.pairs <= STAR_GAIN * total.n or 2 * total.pairs > before:
+        if not total.n or total.pairs <= STAR_GAIN * total.n or total.pairs > 0.98 * before:
             break
         before = total.pairs
     if total.n:

@@ -40,10 +40,10 @@ TASK_COMMON = 16_384
 BLOCK = 128
 #: Further rounds of centres while lists hold this many times more pairs than sets and
 #: a round takes away some hundredths of the pairs.
-STAR_ROUNDS = 6
+STAR_ROUNDS = 3
 STAR_GAIN = 16
 #: Centres of a list in each further round.
-CENTRES = 4
+CENTRES = 8
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)

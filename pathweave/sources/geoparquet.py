@@ -207,10 +207,10 @@ class GeoPoints(DataSource):
     """``df.write.format("geopoints").option("path", ...)``; options
     ``compression`` and ``row_group_size`` (rows).
 
-    It only writes. A reader that takes the filters of a query would be unsafe: Spark
-    4.1 keeps what was pushed last for every later use of the same DataFrame, so a
-    query without such filters then misses rows. ``read_geoparquet`` takes the box
-    instead and leaves the scan to Spark's own Parquet reader.
+    It only writes. A reader that takes the filters of a query was tried and left out:
+    in Spark 4.1 a query whose filters can't be pushed missed rows when it ran on the
+    same DataFrame after one whose could. ``read_geoparquet`` takes the box instead and
+    leaves the scan to Spark's own Parquet reader.
     """
 
     @classmethod

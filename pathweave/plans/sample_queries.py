@@ -7,6 +7,7 @@ ranked by the rounded distance, then by position and trajectory.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from pathweave.functions.scalars import iso_text
 from pathweave.operators import bbox, knn, segmentation, trajectories
 from pathweave.operators.bbox_batch import bbox_batch
 from pathweave.operators.compare import compare_knn, layout_parity
+from pathweave.operators.differences import as_positions, layout_agreement, layout_differences
 from pathweave.operators.extent import point_extent, segment_extent, with_cells
 from pathweave.operators.index import fixed_index, grid_index
 from pathweave.operators.knn_batch import knn_batch
@@ -26,11 +28,18 @@ from pathweave.operators.knn_batch_segments import knn_batch_segments
 from pathweave.operators.profile import layout_profile
 from pathweave.operators.ordering import renumber
 from pathweave.operators.rectangle_join import bbox_batch_segments, match_segments
+from pathweave.operators.time_range import (
+    bbox_batch_between,
+    bbox_segments_between,
+    match_segments_between,
+    segments_between,
+)
 from pathweave.plans.evaluation import CATEGORIES, bbox_report, bbox_results
 from pathweave.plans.stored import stored_layout, stored_layouts
 from pathweave.plans.table_views import (
     LINEITEM_ORDER,
     customer_boxes,
+    customer_boxes_in_time,
     event_points,
     event_rows,
     lineitem_points,
@@ -52,7 +61,11 @@ from pathweave.sources.raw_logs import (
     write_log_lines,
 )
 from pathweave.sources.results import append_run, read_runs
-from pathweave.sources.segments import scan_segments
+from pathweave.sources.segments import (
+    read_segments_by_time,
+    scan_segments,
+    write_segments,
+)
 from pathweave.streaming.live_logs import stream_raw_logs
 from pathweave.streaming.live_segments import (
     segments_of_members,
@@ -717,6 +730,101 @@ def batch_boxes_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbox_batch_segments(segments, customer_boxes(spark, sf_dir))
 
 
+# --------------------------------------------------------------- place and time
+
+LONG_BOX = BBox(39.98, 40.01, 116.312, 116.3145)
+FROM, TO = datetime(1994, 3, 1), datetime(1995, 2, 15)
+IN_TIME = f"BETWEEN TIMESTAMP '{FROM}' AND TIMESTAMP '{TO}'"
+
+
+def segments_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid segments in slabs of 30 days."""
+    path = shared_folder(spark, "segments-by-time")
+    write_segments(stored_layout(spark, sf_dir, "Grid Segments").select(*SEGMENTS.fieldNames()), path, slab_hours=24 * 30)
+    return read_segments_by_time(spark, path)
+
+
+@query(
+    "segments_between",
+    with_(GRID_ALL, BOUNDS, SEGMENT_ROWS + f" WHERE {overlap_sql(LONG_BOX)} AND max_t >= TIMESTAMP '{FROM}' AND min_t <= TIMESTAMP '{TO}'"),
+)
+def segments_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_rows(segments_between(segments_by_time(spark, sf_dir), LONG_BOX, FROM, TO))
+
+
+@query(
+    "bbox_between",
+    with_(
+        GRID_ALL,
+        f"""
+SELECT entity_id, lat, lon, "timestamp" FROM (
+  SELECT *, row_number() OVER (
+           PARTITION BY entity_id, round_even(lat * 1e6, 0), round_even(lon * 1e6, 0)
+           ORDER BY segment_id, place) AS copy
+  FROM members WHERE {in_box_sql(LONG_BOX)} AND "timestamp" {IN_TIME})
+WHERE copy = 1""",
+    ),
+)
+def bbox_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bbox_segments_between(segments_by_time(spark, sf_dir), LONG_BOX, FROM, TO)
+
+
+TIMED_BOXES = """
+timed AS (
+  SELECT *, from_t + to_days(CAST(1 + box_id % 400 AS INTEGER)) AS to_t FROM (
+    SELECT *, TIMESTAMP '1992-01-01' + to_days(CAST(box_id * 7 % 2300 AS INTEGER)) AS from_t
+    FROM boxes))"""
+
+TIMED_PAIRS = with_(
+    GRID_ALL,
+    BOUNDS,
+    CUSTOMER_BOXES,
+    TIMED_BOXES,
+    """
+SELECT box_id, entity_id, segment_id FROM timed JOIN segs
+ON max_x >= min_lat AND min_x <= max_lat AND max_y >= min_lon AND min_y <= max_lon
+AND max_t >= from_t AND min_t <= to_t""",
+)
+
+
+@query("segment_box_pairs_between", TIMED_PAIRS)
+def segment_box_pairs_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which segments' bounds overlap which boxes in place and time."""
+    segments = stored_layout(spark, sf_dir, "Grid Segments")
+    pairs = match_segments_between(segments, customer_boxes_in_time(spark, sf_dir))
+    return pairs.select("box_id", "entity_id", "segment_id")
+
+
+@query("segment_box_pairs_between_hot", TIMED_PAIRS)
+def segment_box_pairs_between_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with crowded cells dealt out in pieces of a few rows."""
+    segments = stored_layout(spark, sf_dir, "Grid Segments")
+    pairs = match_segments_between(segments, customer_boxes_in_time(spark, sf_dir), hot_rows=5)
+    return pairs.select("box_id", "entity_id", "segment_id")
+
+
+@query(
+    "bbox_batch_between",
+    with_(
+        GRID_ALL,
+        CUSTOMER_BOXES,
+        TIMED_BOXES,
+        """
+SELECT box_id, entity_id, lat, lon, "timestamp" FROM (
+  SELECT *, row_number() OVER (
+           PARTITION BY box_id, entity_id, round_even(lat * 1e6, 0), round_even(lon * 1e6, 0)
+           ORDER BY segment_id, place) AS copy
+  FROM members JOIN timed ON lat BETWEEN min_lat AND max_lat
+                         AND lon BETWEEN min_lon AND max_lon
+                         AND "timestamp" BETWEEN from_t AND to_t)
+WHERE copy = 1""",
+    ),
+)
+def batch_boxes_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = stored_layout(spark, sf_dir, "Grid Segments")
+    return bbox_batch_between(segments, customer_boxes_in_time(spark, sf_dir))
+
+
 # -------------------------------------------------------------------- segments
 
 
@@ -1289,6 +1397,55 @@ def parity_differs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout_parity({n: bbox.bbox_points(points, b) for n, b in boxes.items()})
 
 
+@query(
+    "layout_agreement",
+    with_(
+        ROWS,
+        f"""
+counts AS (SELECT
+  (SELECT count(*) FROM (SELECT DISTINCT traj_id, lat, lon FROM pts
+                         WHERE {in_box_sql(BOX)})) AS a,
+  (SELECT count(*) FROM (SELECT DISTINCT traj_id, lat, lon FROM pts
+                         WHERE {in_box_sql(HALF_BOX)})) AS b)""",
+        "SELECT name AS layout, a AS n_rows, true AS agrees FROM counts, (VALUES "
+        + ", ".join(f"('{name}')" for _, name in PARITY_NAMES)
+        + ") names(name) UNION ALL SELECT 'half', b, a = b FROM counts",
+    ),
+)
+def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which layouts give the same rows, and not just as many."""
+    layouts = stored_layouts(spark, sf_dir)
+    results = bbox_results(layouts, BOX) | {"half": bbox.bbox_points(layouts["Base Parquet"], HALF_BOX)}
+    return layout_agreement({name: as_positions(r) for name, r in results.items()})
+
+
+@query(
+    "layout_differences",
+    with_(
+        ROWS,
+        """
+damaged AS (
+  SELECT traj_id, lat + CASE WHEN altitude = 7 AND seq % 5 = 0 THEN 0.5e0 ELSE 0 END AS lat,
+         lon, "timestamp" FROM pts WHERE NOT (altitude = 11 AND seq % 3 = 0)),
+counts AS (
+  SELECT traj_id, lat, lon, "timestamp", 1 AS a, 0 AS b FROM pts
+  UNION ALL SELECT traj_id, lat, lon, "timestamp", 0, 1 FROM damaged)""",
+        """
+SELECT 'damaged' AS layout, traj_id, lat, lon, "timestamp",
+       CAST(sum(a) AS BIGINT) AS n_first, CAST(sum(b) AS BIGINT) AS n_other
+FROM counts GROUP BY traj_id, lat, lon, "timestamp" HAVING sum(a) <> sum(b)""",
+    ),
+)
+def differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points against another layout of them and against a copy in which some are
+    moved and some are lost."""
+    points = stored_layout(spark, sf_dir, "Base Parquet")
+    moved, lost = (F.col("altitude") == 7) & (F.col("seq") % 5 == 0), (F.col("altitude") == 11) & (F.col("seq") % 3 == 0)
+    broken = points.where(~lost).withColumn("lat", F.col("lat") + F.when(moved, 0.5).otherwise(0.0))
+    results = {"Base Parquet": points, "CSV": stored_layout(spark, sf_dir, "CSV"), "damaged": broken}
+    return layout_differences({name: as_positions(r) for name, r in results.items()})
+
+
 def counted_sql(name: str, segments: str) -> str:
     inner = with_(segments, "SELECT count(*) FROM (SELECT DISTINCT entity_id, segment_id FROM members)")
     return f"{name} AS (SELECT n FROM ({inner}) c(n))"

@@ -79,6 +79,13 @@ def customer_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customer_boxes_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers' boxes, each for some time: from a day to more than a year."""
+    whole = customer_boxes(spark, sf_dir)
+    start = "TIMESTAMP_NTZ'1992-01-01 00:00:00' + make_dt_interval(CAST(box_id * 7 % 2300 AS INT))"
+    return whole.withColumn("from_t", F.expr(start)).withColumn("to_t", F.expr("from_t + make_dt_interval(CAST(1 + box_id % 400 AS INT))"))
+
+
 def supplier_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One query point per supplier; some lie well outside the points."""
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(

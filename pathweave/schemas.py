@@ -56,6 +56,10 @@ SEG_GRID = T.StructType(
     ).fields
 )
 
+SEG_BY_TIME = T.StructType(
+    SEGMENTS.fields + _struct(("first_us", T.LongType()), ("last_us", T.LongType())).fields
+)
+
 GEO = T.StructType(POINTS.fields + _struct(("geometry", T.BinaryType())).fields)
 
 KNN = _struct(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,9 @@ def clustered(
     tie: list[str],
     cell_size: float = 0.001,
     partitions: int | None = None,
+    first: Sequence[Column] = (),
 ) -> DataFrame:
-    """Range-partition and sort rows by tile, then cell, then ``tie``.
+    """Range-partition and sort rows by ``first``, tile, cell, then ``tie``.
 
     Row-group statistics of the written files then cover small areas, which is
     what lets pushed-down ranges skip data. ``tie`` ends the key with columns
@@ -40,6 +43,7 @@ def clustered(
     cell_i = F.floor(lat / F.lit(cell_size))
     cell_j = F.floor(lon / F.lit(cell_size))
     keys = [
+        *first,
         F.floor(cell_i / TILE_CELLS),
         F.floor(cell_j / TILE_CELLS),
         cell_i,

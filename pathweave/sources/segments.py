@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from pathweave.functions.arrays import decode_doubles, decode_timestamps
 from pathweave.functions.predicates import bounds_overlap_box
 from pathweave.operators.segmentation import recompute_bounds
-from pathweave.schemas import SEGMENTS, BBox
+from pathweave.operators.time_range import with_time_numbers
+from pathweave.schemas import SEGMENTS, SEG_BY_TIME, BBox
 from pathweave.sources.layout import clustered
 
 # all that refining reads; only the time bounds stay behind
@@ -24,16 +25,23 @@ def write_segments(
     mode: str = "errorifexists",
     cluster: bool = True,
     partitions: int | None = None,
+    slab_hours: float | None = None,
 ) -> None:
-    """Segments Parquet, clustered by the middle of their bounds."""
-    rows = segments
+    """Segments Parquet, clustered by the middle of their bounds.
+
+    With ``slab_hours`` by their start in slabs of so many hours first, and with the
+    columns ``first_us, last_us``, so that scans by time skip files and row groups.
+    """
+    rows = segments if slab_hours is None else with_time_numbers(segments)
     if cluster:
+        slab = [] if slab_hours is None else [F.floor(F.col("first_us") / F.lit(slab_hours * 3.6e9))]
         rows = clustered(
-            segments,
+            rows,
             (F.col("min_x") + F.col("max_x")) / 2,
             (F.col("min_y") + F.col("max_y")) / 2,
             ["entity_id", "segment_id", "part"],
             partitions=partitions,
+            first=slab,
         )
     rows.write.mode(mode).parquet(path)
 
@@ -49,6 +57,11 @@ def read_segments(
     return recompute_bounds(segments) if recompute else segments
 
 
+def read_segments_by_time(spark: SparkSession, path: str) -> DataFrame:
+    """Segments stored with ``slab_hours``."""
+    return read_segments(spark, path, SEG_BY_TIME)
+
+
 def read_foreign_segments(spark: SparkSession, path: str) -> DataFrame:
     """Segments Parquet written by other tools: arrays may be stored as text
     (``"{39.98,40.0}"``), times as ISO text, and ``part`` may be missing."""

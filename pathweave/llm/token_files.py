@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from pathweave.llm.chunk_encoder import worker_encoder
 from pathweave.llm.common import batch_of, slices, texts_of
+from pathweave.session import stored_table
 
 MAGIC = "PWTOKENS"
 VERSION = 1
@@ -35,6 +36,10 @@ GROUP_KEYS = 4
 #: Shards of one partition; shard numbers of different partitions never meet.
 PART_SHARDS = 1 << 24
 _SPLITTER_ERROR = 0.002
+#: Keyed reads open shards by their names up to this many; a read of more opens all.
+MOST_OPENED = 10_000
+#: Of the seeds tried for a group of keys before equal hashes are looked for.
+_MANY_TRIES = 1 << 16
 
 
 def write_tokens(
@@ -137,6 +142,28 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(f"{folder}/shards").select("content")
 
 
+def _files_of(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
+    """(content) of the files of some shards, a table with the column ``shard``.
+
+    The writer names a file after its partition and its place in it, which are the
+    number of its shard. Names are listed without opening a file; the list of those
+    asked for comes to the driver if it is no longer than ``MOST_OPENED``.
+    """
+    paths = spark.read.format("binaryFile").load(f"{folder}/shards").select("path")
+    part, at = (F.regexp_extract("path", r"part-(\d+)-[^/]*-c(\d+)[^/]*$", n).cast("long") for n in (1, 2))
+    named = paths.withColumn("shard", part * PART_SHARDS + at)
+    asked = shards.select("shard").distinct().limit(MOST_OPENED + 1).collect()
+    if len(asked) > MOST_OPENED:
+        return _files(spark, folder)
+    if not asked:
+        return _files(spark, folder).limit(0)
+    wanted = spark.createDataFrame(asked, "shard long")
+    found = [r.path for r in named.join(F.broadcast(wanted), "shard", "left_semi").select("path").collect()]
+    if len(found) < len(asked):
+        raise ValueError(f"{len(asked) - len(found)} shard files of {folder} are missing")
+    return spark.read.format("binaryFile").load(found).select("content")
+
+
 _ENTRIES = pa.schema([("hash", pa.int64()), ("shard", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 _ENTRY_DDL = "hash long, shard long, offset long, n_tokens long, ids_crc32 long"
 
@@ -218,6 +245,8 @@ def perfect_hash(hashes: np.ndarray) -> np.ndarray:
                 taken[slots[first]] = True
                 break
             base += len(tries)
+            if base == _MANY_TRIES and len(np.unique(own)) < size:
+                raise ValueError("two keys have the same 64-bit hash, which no seed can part")
     free = iter(np.flatnonzero(~taken).tolist())
     for g in np.flatnonzero(sizes == 1).tolist():
         seeds[g] = -next(free) - 1
@@ -291,8 +320,10 @@ def locate(spark: SparkSession, folder: str, keys: DataFrame, id_col: str = "doc
 
 
 def read_ids(spark: SparkSession, folder: str, keys: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, ids array<long>) of the given keys; only their shards' bytes travel."""
-    places = locate(spark, folder, keys, id_col)
+    """(doc_id, ids array<long>) of the given keys. Places are found by the index and
+    stored when this is called; then only the shards they name are opened (beyond
+    ``MOST_OPENED`` of them all are, and only those asked for travel)."""
+    places = stored_table(locate(spark, folder, keys, id_col), "token-places")
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.int64()), ("content", pa.binary())])
@@ -301,13 +332,15 @@ def read_ids(spark: SparkSession, folder: str, keys: DataFrame, id_col: str = "d
             yield batch_of(schema, shard=[open_shard(c)[0] for c in contents], content=contents)
 
     def pick(places: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
-        if places.empty or files.empty:
+        if files.empty:
+            raise ValueError("a shard that the index names is missing")
+        if places.empty:
             return pd.DataFrame({"doc_id": pd.Series(dtype="Int64"), "ids": pd.Series(dtype=object)})
         ids = open_shard(files["content"].iloc[0])[4]
         picked = [ids[a : a + n].astype(np.int64) for a, n in zip(places["offset"], places["n_tokens"])]
         return pd.DataFrame({"doc_id": places["doc_id"].astype("Int64"), "ids": picked})
 
-    shards = _files(spark, folder).mapInArrow(named, "shard long, content binary")
+    shards = _files_of(spark, folder, places).mapInArrow(named, "shard long, content binary")
     needed = shards.join(places.select("shard").distinct(), "shard", "left_semi")
     return places.groupBy("shard").cogroup(needed.groupBy("shard")).applyInPandas(pick, "doc_id long, ids array<long>")
 

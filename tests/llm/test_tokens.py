@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 from pathweave.llm import packing, token_counts, token_files
 from pathweave.llm.chunk_encoder import ChunkEncoder
 from pathweave.session import shared_folder
-from tests.llm.helpers import awkward, crc, frame, ordered, rows_of
+from tests.llm.helpers import awkward, crc, frame, ordered, rows_of, words
 
 BYTES, WORDS = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
@@ -42,6 +42,34 @@ def test_files_round_trip(spark):
     assert {r.doc_id: list(r.ids) for r in token_files.read_ids(spark, folder, keys).collect()} == {d: i for d, i in stored if d in (4, 6)}
 
 
+def test_a_key_opens_its_shard_alone(spark, monkeypatch):
+    docs = frame(spark, [(n, " ".join(words(80, n))) for n in range(300)])
+    folder = shared_folder(spark, "test-tokens")
+    token_files.write_tokens(docs, folder, BYTES, partitions=4, shard_bytes=1500)
+    everything = token_files._files(spark, folder).inputFiles()
+    assert len(everything) > 20
+    for key in (0, 77, 150, 299):
+        keys = spark.createDataFrame([(key,)], "doc_id long")
+        places = token_files.locate(spark, folder, keys)
+        opened = token_files._files_of(spark, folder, places)
+        assert len(opened.inputFiles()) == 1
+        assert token_files.open_shard(bytes(opened.first().content))[0] == places.first().shard
+    keys = spark.createDataFrame([(n,) for n in range(0, 300, 7)] + [(5000,)], "doc_id long")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = {n: ids_of(BYTES, texts[n]) + [2] for n in range(0, 300, 7)}
+    for most in (token_files.MOST_OPENED, 3):
+        monkeypatch.setattr(token_files, "MOST_OPENED", most)
+        assert {r.doc_id: list(r.ids) for r in token_files.read_ids(spark, folder, keys).collect()} == want
+    assert token_files.read_ids(spark, folder, keys.where("doc_id > 4000")).count() == 0
+
+
+def test_equal_hashes_are_refused():
+    import numpy as np
+
+    with pytest.raises(ValueError, match="same 64-bit hash"):
+        token_files.perfect_hash(np.array([5, 5, 9], dtype=np.uint64))
+
+
 def test_empty_files(spark):
     docs = frame(spark, [])
     folder = shared_folder(spark, "test-tokens")

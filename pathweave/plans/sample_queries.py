@@ -19,6 +19,7 @@ from pathweave.functions.predicates import bounds_contain_point
 from pathweave.functions.scalars import iso_text
 from pathweave.operators import bbox, knn, segmentation, trajectories
 from pathweave.operators.bbox_batch import bbox_batch
+from pathweave.operators.certificate import proven_knn_fixed_index
 from pathweave.operators.compare import compare_knn, layout_parity
 from pathweave.operators.differences import as_positions, layout_agreement, layout_differences
 from pathweave.operators.extent import point_extent, segment_extent, with_cells
@@ -1202,6 +1203,42 @@ def knn_fixed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(knn.knn_fixed_index(index, POINT, K, TOP_CENTROIDS))
 
 
+def least_sql(point: knn.Point) -> str:
+    """Metres from a point beside, above or below bounds of less than half the globe."""
+    lat, lon = (f"{c}e0" for c in point)
+
+    def meridian(edge: str) -> str:
+        turn = f"radians({edge} - {lon})"
+        valley = f"degrees(atan2(sin(radians({lat})), cos(radians({lat})) * cos({turn})))"
+        within = f"least(greatest({valley}, min_x), max_x)"
+        return ", ".join(metres_sql(lat, lon, at, edge) for at in ("min_x", "max_x", within))
+
+    straight = f"6371000e0 * radians(greatest(min_x - {lat}, {lat} - max_x, 0e0))"
+    return f"CASE WHEN {lon} BETWEEN min_y AND max_y THEN {straight} ELSE least({meridian('min_y')}, {meridian('max_y')}) END"
+
+
+INSIDE_BOUNDS = f"(min_x <= {POINT[0]}e0 AND max_x >= {POINT[0]}e0 AND min_y <= {POINT[1]}e0 AND max_y >= {POINT[1]}e0)"
+
+
+@query(
+    "knn_fixed_index_proven",
+    with_(
+        FIXED,
+        BOUNDS,
+        f"""
+kept AS (
+  SELECT m.entity_id AS traj_id, m.lat, m.lon FROM members m JOIN segs USING (entity_id, segment_id)
+  WHERE {INSIDE_BOUNDS}),
+skipped AS (SELECT min({least_sql(POINT)}) AS bound FROM segs WHERE NOT {INSIDE_BOUNDS})""",
+        f"SELECT n.*, coalesce(distance < bound - 2e-6, true) AS proven FROM ({nearest_sql('kept')}) n, skipped",
+    ),
+)
+def knn_fixed_index_proven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index's answer from all segments around the point, with what is proven of it."""
+    index = stored_layout(spark, sf_dir, "Fixed Segments (index)")
+    return rounded(proven_knn_fixed_index(index, POINT, K, top_n_centroids=10_000_000))
+
+
 @query(
     "knn_grid_index",
     with_(

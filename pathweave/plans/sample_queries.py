@@ -773,7 +773,7 @@ def bbox_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 TIMED_BOXES = """
 timed AS (
   SELECT *, from_t + to_days(CAST(1 + box_id % 400 AS INTEGER)) AS to_t FROM (
-    SELECT *, TIMESTAMP '1992-01-01' + to_days(CAST(box_id * 7 % 2300 AS INTEGER)) AS from_t
+    SELECT *, TIMESTAMP '1992-01-01' + to_days(CAST(350 + 10 * (box_id % 311) + box_id * 37 % 200 AS INTEGER)) AS from_t
     FROM boxes))"""
 
 TIMED_PAIRS = with_(

@@ -80,9 +80,10 @@ def customer_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_boxes_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The customers' boxes, each for some time: from a day to more than a year."""
+    """The customers' boxes, each for some time: from a day to more than a year, around
+    the days on which trajectories drift through the box."""
     whole = customer_boxes(spark, sf_dir)
-    start = "TIMESTAMP_NTZ'1992-01-01 00:00:00' + make_dt_interval(CAST(box_id * 7 % 2300 AS INT))"
+    start = "TIMESTAMP_NTZ'1992-01-01 00:00:00' + make_dt_interval(CAST(350 + 10 * (box_id % 311) + box_id * 37 % 200 AS INT))"
     return whole.withColumn("from_t", F.expr(start)).withColumn("to_t", F.expr("from_t + make_dt_interval(CAST(1 + box_id % 400 AS INT))"))
 
 

@@ -8,8 +8,10 @@ shingle of a prefix has a list of sets, and only sets of one list are compared.
 * In each list all sets are first compared with one of them, its centre. What links
   with the centre takes over the centre's answers: it is in the same component, and
   only lists that still hold several components are looked at again.
-* Such lists are cut into blocks by component; blocks carry the ranges of sizes and
-  positions of their sets, so pairs of blocks that can't link are skipped whole.
+* Such lists are cut into blocks by distance from the centre; blocks carry the ranges
+  of sizes and positions of their sets, so pairs of blocks that can't link are skipped
+  whole. A pair of blocks is one row; which pairs of their sets are left open is found
+  in the task, by sizes, positions, the centre and sketches of the sets.
 * Of what is left, an overlap with a set near a centre follows within bounds from the
   centre's own overlap and the difference between the two; only pairs that the bounds
   leave open are looked at.
@@ -37,7 +39,7 @@ THRESHOLD = 85  # percent
 #: Shingles known to be common: a table of fixed size, which only sets the order.
 COMMON = 65_536
 TASK_COMMON = 16_384
-BLOCK = 128
+BLOCK = 256
 #: Further rounds of centres while lists hold this many times more pairs than sets and
 #: a round takes away some hundredths of the pairs.
 STAR_ROUNDS = 3
@@ -103,6 +105,17 @@ def outline(own: np.ndarray) -> bytes:
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
+#: Buckets of a sketch, as a power of two.
+SKETCH_BITS = 8
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """An outline of the same length for all sets. Counts stop at 255, which brings two
+    sketches only nearer to each other, so that they bound as outlines do."""
+    counts = np.bincount((own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 def most_common(n_x: int, x: bytes, n_y: int, y: bytes) -> int:
     """An upper bound of what two sets share, by their outlines. The longer outline is
     folded to the length of the other: buckets by upper bits add up in neighbours."""
@@ -168,14 +181,14 @@ def _common_shingles(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray
     return hashes[order], ranks[order]
 
 
-_SETS_DDL = "doc_id long, n long, key binary, prefix array<long>, outline binary"
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("prefix", pa.list_(pa.int64())), ("outline", pa.binary())])
+_SETS_DDL = "doc_id long, n long, key binary, prefix array<long>, outline binary, sketch binary"
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("prefix", pa.list_(pa.int64())), ("outline", pa.binary()), ("sketch", pa.binary())])
 
 
 def _prefixes(rows: DataFrame, size: int, threshold: int) -> DataFrame:
-    """One row a document: size and hash of its set, its prefix in order, and its
-    outline. Within a task the latter two are given once for equal sets, with a row that
-    has an id."""
+    """One row a document: size and hash of its set, its prefix in order, its
+    outline and its sketch. Within a task these three are given once for equal sets, with
+    a row that has an id."""
     common, ranks = _common_shingles(rows, size)
     shared = rows.sparkSession.sparkContext.broadcast((common, ranks))
 
@@ -185,16 +198,18 @@ def _prefixes(rows: DataFrame, size: int, threshold: int) -> DataFrame:
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), size)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            prefixes, outlines = [], []
+            prefixes, outlines, sketches = [], [], []
             for own, key, named in zip(sets, keys, batch.column("doc_id").is_valid().to_pylist()):
                 if not named or key in met or not len(own):
                     prefixes.append(None)
                     outlines.append(None)
+                    sketches.append(None)
                 else:
                     met.add(key)
                     prefixes.append(_ordered(own, *table)[: prefix_length(len(own), threshold)].view(np.int64))
                     outlines.append(outline(own))
-            yield batch_of(_SETS, doc_id=batch.column("doc_id"), n=[len(s) for s in sets], key=keys, prefix=prefixes, outline=outlines)
+                    sketches.append(sketch(own))
+            yield batch_of(_SETS, doc_id=batch.column("doc_id"), n=[len(s) for s in sets], key=keys, prefix=prefixes, outline=outlines, sketch=sketches)
 
     return rows.mapInArrow(tidied(run), _SETS_DDL)
 
@@ -318,45 +333,94 @@ def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return stage_table(named.join(mixed, "token", "left_semi"), "open-lists")
 
 
-def _block_pairs(lists: DataFrame, threshold: int) -> DataFrame:
+_SET_FIELDS = ("node", "n", "place", "beside", "shared", "part", "sketch")
+_PAIRS_DDL = "a long, b long, n_a long, n_b long"
+_PAIRS = pa.schema([(c, pa.int64()) for c in ("a", "b", "n_a", "n_b")])
+#: Pairs of sketches compared at once.
+SKETCHES_AT_ONCE = 16_384
+
+
+class _Block:
+    """The sets of one block, column by column."""
+
+    def __init__(self, rows: pa.StructArray) -> None:
+        self.node, self.n, place, self.beside, self.shared, self.part = (
+            rows.field(c).to_numpy(zero_copy_only=False) for c in _SET_FIELDS[:-1]
+        )
+        self.rest = self.n - place
+        drawn = rows.field("sketch").to_pylist()
+        self.drawn = np.array([s is not None for s in drawn])
+        blank = bytes(1 << SKETCH_BITS)
+        self.sketch = np.frombuffer(b"".join(s or blank for s in drawn), dtype=np.uint8).reshape(len(drawn), -1)
+
+
+def open_pairs(left: _Block, right: _Block, same: bool, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in left, in right) of the pairs of different components that may link,
+    by sizes, by the positions of the list's shingle, by
+    common(x, y) <= shared(x) + beside(y), and by the sketches. A set without a sketch
+    is bound by the others alone."""
+    n = left.n[:, None] + right.n[None, :]
+    least = -(-n * threshold // (100 + threshold))
+    most = np.minimum(left.rest[:, None], right.rest[None, :])
+    most = np.minimum(most, left.shared[:, None] + right.beside[None, :])
+    most = np.minimum(most, left.beside[:, None] + right.shared[None, :])
+    smaller = np.minimum(left.n[:, None], right.n[None, :])
+    may = (most >= least) & (smaller >= least) & (left.part[:, None] != right.part[None, :])
+    x, y = np.nonzero(np.triu(may, 1) if same else may)
+    stay = np.ones(len(x), dtype=bool)
+    for at in range(0, len(x), SKETCHES_AT_ONCE):
+        i, j = x[at : at + SKETCHES_AT_ONCE], y[at : at + SKETCHES_AT_ONCE]
+        own, other = left.sketch[i], right.sketch[j]
+        apart = (np.maximum(own, other) - np.minimum(own, other)).sum(axis=1, dtype=np.int64)
+        stay[at : at + SKETCHES_AT_ONCE] = ((n[i, j] - apart) // 2 >= least[i, j]) | ~(left.drawn[i] & right.drawn[j])
+    return x[stay], y[stay]
+
+
+def _block_pairs(lists: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
     """Pairs of sets of different components in one list, by way of blocks.
 
-    A block holds sets of one component that lie about as far from the list's centre.
-    Two blocks are skipped if their sizes differ too much, if too little of their sets
-    follows the shingle, or if what one shares with the centre and what the other has
-    beside it can't add up to a link: common(x, y) <= shared(x) + beside(y).
+    A block holds sets of one list that lie about as far from the list's centre. Two
+    blocks are skipped if all their sets are of one component, if their sizes differ too
+    much, if too little of their sets follows the shingle, or if what one shares with
+    the centre and what the other has beside it can't add up to a link.
     """
     distance = F.floor(F.log2(F.col("beside") + 1)).cast("int")
-    marked = lists.withColumn("distance", distance)
-    sizes = marked.groupBy("token", "part", "distance").count().withColumn("cuts", F.ceil(F.col("count") / BLOCK).cast("long"))
-    salted = marked.join(sizes.select("token", "part", "distance", "cuts"), ["token", "part", "distance"]).withColumn("cut", F.pmod(F.xxhash64("node"), "cuts"))
-    blocks = salted.groupBy("token", "part", "distance", "cut").agg(
+    marked = lists.withColumn("distance", distance).join(sketches, "node", "left")
+    sizes = lists.groupBy("token", distance.alias("distance")).count().withColumn("cuts", F.ceil(F.col("count") / BLOCK).cast("long"))
+    salted = marked.join(sizes.select("token", "distance", "cuts"), ["token", "distance"]).withColumn("cut", F.pmod(F.xxhash64("node"), "cuts"))
+    blocks = salted.groupBy("token", "distance", "cut").agg(
         F.min("n").alias("n0"),
         F.max("n").alias("n1"),
+        F.min("part").alias("part0"),
+        F.max("part").alias("part1"),
         F.max(F.col("n") - F.col("place")).alias("rest"),
         F.max("beside").alias("beside"),
         F.max("shared").alias("shared"),
-        F.collect_list(F.struct("node", "n", "place", "beside", "shared")).alias("sets"),
+        F.collect_list(F.struct(*_SET_FIELDS)).alias("sets"),
     )
     left, right = blocks.alias("l"), blocks.alias("r")
+    once = F.struct("l.distance", "l.cut") <= F.struct("r.distance", "r.cut")
+    mixed = F.least("l.part0", "r.part0") < F.greatest("l.part1", "r.part1")
     near = (F.col("l.n1") * 100 >= F.col("r.n0") * threshold) & (F.col("r.n1") * 100 >= F.col("l.n0") * threshold)
     most = F.least("l.rest", "r.rest", F.col("l.shared") + F.col("r.beside"), F.col("r.shared") + F.col("l.beside"))
     reach = most >= _least_overlap(F.col("l.n0"), F.col("r.n0"), threshold)
-    met = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.part") < F.col("r.part")) & near & reach)
-    one = met.select(F.explode("l.sets").alias("x"), F.col("r.sets").alias("others"))
-    others = F.filter(
-        "others",
-        lambda y: _sizes_allow(F.col("x.n"), y["n"], threshold)
-        & _positions_allow(F.col("x.n"), F.col("x.place"), y["n"], y["place"], threshold)
-        & (F.least(F.col("x.shared") + y["beside"], y["shared"] + F.col("x.beside")) >= _least_overlap(F.col("x.n"), y["n"], threshold))
-    )
-    two = one.select("x", F.explode(others).alias("y"))
-    x, y = (lambda f: F.col(f"x.{f}")), (lambda f: F.col(f"y.{f}"))
-    return two.select(
-        F.greatest(x("node"), y("node")).alias("a"), F.least(x("node"), y("node")).alias("b"),
-        F.when(x("node") > y("node"), x("n")).otherwise(y("n")).alias("n_a"),
-        F.when(x("node") > y("node"), y("n")).otherwise(x("n")).alias("n_b"),
-    ).distinct()
+    met = left.join(right, (F.col("l.token") == F.col("r.token")) & once & mixed & near & reach)
+    same = (F.col("l.distance") == F.col("r.distance")) & (F.col("l.cut") == F.col("r.cut"))
+    both = met.select(F.col("l.sets").alias("sets"), F.when(~same, F.col("r.sets")).alias("others"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for sets, others in zip(batch.column("sets"), batch.column("others")):
+                left = _Block(sets.values)
+                right = _Block(others.values) if others.is_valid else left
+                x, y = open_pairs(left, right, right is left, threshold)
+                found.append(np.stack([left.node[x], right.node[y], left.n[x], right.n[y]]))
+            if found:
+                p, q, n_p, n_q = np.concatenate(found, axis=1)
+                yield batch_of(_PAIRS, a=np.maximum(p, q), b=np.minimum(p, q), n_a=np.where(p > q, n_p, n_q), n_b=np.where(p > q, n_q, n_p))
+
+    return both.mapInArrow(tidied(compare), _PAIRS_DDL).distinct()
 
 
 def _derived(pairs: DataFrame, known: DataFrame, several: DataFrame, threshold: int) -> DataFrame:
@@ -401,8 +465,9 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, id_co
     given = real.where("prefix IS NOT NULL")
     lists = _lists(given, heads)
     # several tasks may have met a set; an id with several sets has no outline
-    drawn = given.groupBy("key").agg(F.first("n").alias("n"), F.first("outline").alias("outline")).join(heads, "key")
-    outlines = stage_table(drawn.join(same.select(F.col("doc_id").alias("node")), "node", "left_anti").select("node", "n", "outline"), "outlines")
+    drawn = given.groupBy("key").agg(F.first("n").alias("n"), F.first("outline").alias("outline"), F.first("sketch").alias("sketch")).join(heads, "key")
+    single = drawn.join(same.select(F.col("doc_id").alias("node")), "node", "left_anti")
+    outlines = stage_table(single.select("node", "n", "outline", "sketch"), "outlines")
     known = None
     labels = None
     before = float("inf")
@@ -421,7 +486,7 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, id_co
             break
         before = total.pairs
     if total.n:
-        left = stage_table(_derived(stage_table(_block_pairs(_measured(lists, centres, known), threshold), "block-pairs"), known, same, threshold), "open-pairs")
+        left = stage_table(_derived(stage_table(_block_pairs(_measured(lists, centres, known), outlines.select("node", "sketch"), threshold), "block-pairs"), known, same, threshold), "open-pairs")
         found = _overlaps(left, texts, outlines, size, threshold, "overlaps")
         if not found.where("linked").isEmpty():
             merged = found.where("linked").select("a", "b").union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))

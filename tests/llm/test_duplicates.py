@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +172,40 @@ def test_outlines_bound_what_two_sets_share():
     # apart sets of equal size are told apart
     x, y = (np.unique(rng.integers(0, 2**64, size=500, dtype=np.uint64)) for _ in range(2))
     assert jaccard_join.most_common(500, jaccard_join.outline(x), 500, jaccard_join.outline(y)) < 0.6 * 500
+
+
+def test_pairs_left_open_within_blocks():
+    """No pair that links is ruled out, pairs far apart are; equal parts never meet."""
+    rng = np.random.default_rng(7)
+    base = [rng.integers(0, 2**64, n, dtype=np.uint64) for n in (40, 90, 3000)]
+    sets = []
+    for k in range(45):
+        own = base[k % 3].copy()
+        own[rng.random(len(own)) < 0.02 * (k % 9)] = rng.integers(0, 2**64, dtype=np.uint64)
+        sets.append(np.unique(own))
+    sets.append(np.arange(400, dtype=np.uint64))  # more than 255 in one place of a sketch
+    sets.append(np.arange(30, 400, dtype=np.uint64))
+
+    def block(places):
+        rows = [
+            {"node": k, "n": len(sets[k]), "place": 0, "beside": len(sets[k]), "shared": len(sets[k]), "part": k // 2, "sketch": None if k == 4 else jaccard_join.sketch(sets[k])}
+            for k in places
+        ]
+        return jaccard_join._Block(pa.array(rows))
+
+    halves = [list(range(0, len(sets), 2)), list(range(1, len(sets), 2))]
+    left, right = map(block, halves)
+    found = set()
+    for one, other in ((left, left), (left, right), (right, right)):
+        x, y = jaccard_join.open_pairs(one, other, one is other, 85)
+        pairs = [tuple(sorted(p)) for p in zip(one.node[x].tolist(), other.node[y].tolist())]
+        assert len(pairs) == len(set(pairs))
+        found |= set(pairs)
+    want = set()
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            common = len(np.intersect1d(sets[a], sets[b]))
+            if a // 2 != b // 2 and 100 * common >= 85 * (len(sets[a]) + len(sets[b]) - common):
+                want.add((a, b))
+    assert want and want <= found
+    assert all(a // 2 != b // 2 for a, b in found) and len(found) < 2 * len(want) + len(sets)

@@ -67,7 +67,7 @@ from pathweave.sources.segments import (
     scan_segments,
     write_segments,
 )
-from pathweave.streaming.live_logs import stream_raw_logs
+from pathweave.streaming.live_logs import listing_in_few_tasks, stream_raw_logs
 from pathweave.streaming.live_segments import (
     segments_of_members,
     stream_fixed_members,
@@ -333,7 +333,8 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def logged_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = parse_lines(log_lines(spark, sf_dir)).where(is_complete())
-    return renumber(parsed.drop("path", "line_no", "line"))
+    # numbering asks twice for its rows
+    return renumber(stored_table(parsed.drop("path", "line_no", "line"), "log-points"))
 
 
 @query(
@@ -381,7 +382,7 @@ def raw_logs_large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def raw_logs_malformed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = read_malformed_lines(spark, log_folder(spark, sf_dir))
-    return bad.select(F.regexp_extract("path", r"([^/]+)\.plt$", 1).alias("traj_id"), "line_no")
+    return bad.select(F.regexp_extract(F.substring_index("path", "/", -1), r"([^/]+)\.plt$", 1).alias("traj_id"), "line_no")
 
 
 def arriving_members(spark: SparkSession, sf_dir: str, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -398,7 +399,8 @@ def arriving_members(spark: SparkSession, sf_dir: str, cut: Callable[[DataFrame]
         write_log_lines(piece, f"{root}/{name}")
         points = stream_raw_logs(spark, root, "*/*/Trajectory/*.plt")
         stream = cut(points).writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{root}/checkpoint")
-        stream.trigger(availableNow=True).start().awaitTermination()
+        with listing_in_few_tasks(spark):
+            stream.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path)
 
 

@@ -174,6 +174,22 @@ def candidate_cells(pyramid: DataFrame, queries: DataFrame, k: int) -> DataFrame
     return cells
 
 
+def query_places(queries: DataFrame) -> DataFrame:
+    """The distinct positions asked for as queries of their own: ``query_id`` (a number
+    for the place), ``lat, lon``. Stored, so that the numbers stay."""
+    places = queries.select("lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL").distinct()
+    return stored_table(places.select(F.monotonically_increasing_id().alias("query_id"), "lat", "lon"), "query-places")
+
+
+def for_each_query(found: DataFrame, places: DataFrame, queries: DataFrame) -> DataFrame:
+    """Answers ``found`` for ``places`` given to every query that asks from there."""
+    asked = queries.select("query_id", F.col("lat").alias("_qlat"), F.col("lon").alias("_qlon"))
+    at = places.select(F.col("query_id").alias("_place"), F.col("lat").alias("_qlat"), F.col("lon").alias("_qlon"))
+    owners = asked.join(at, ["_qlat", "_qlon"]).select("_place", "query_id")
+    answers = found.withColumnRenamed("query_id", "_place")
+    return owners.join(answers, "_place").select(*found.columns)
+
+
 def knn_batch(
     points: DataFrame, queries: DataFrame, k: int, pyramid: DataFrame | None = None
 ) -> DataFrame:
@@ -181,11 +197,16 @@ def knn_batch(
     ``query_id, rank, traj_id, lat, lon, distance``.
 
     Points outside all cells in play drop out first; of the rest repeated positions
-    fold, on the map side too, before they meet any query. A stored ``pyramid`` of
-    the same points saves building one.
+    fold, on the map side too, before they meet any query. Queries from one position
+    are answered once. A stored ``pyramid`` of the same points saves building one.
     """
     if pyramid is None:
         pyramid = build_pyramid(points, k)
+    places = query_places(queries)
+    return for_each_query(_knn_of_places(points, places, k, pyramid), places, queries)
+
+
+def _knn_of_places(points: DataFrame, queries: DataFrame, k: int, pyramid: DataFrame) -> DataFrame:
     cells = candidate_cells(pyramid, queries, max(k, 1))
     rows = _located(points.select("traj_id", "lat", "lon")).withColumnsRenamed(
         {"_ci": "ci", "_cj": "cj"}

@@ -4,8 +4,8 @@ Segments are put into cells by the middle of their bounds, and cells into a pyra
 that keeps for each cell the bounds of all its segments and a bitmap of their positions.
 A query walks down: among the cells in play, the nearest ones that surely hold k
 positions bound the k-th distance by how far their bounds reach, and every cell whose
-bounds begin beyond that drops out. Only segments of cells that stay to the end are
-exploded.
+bounds begin beyond that drops out. Where that pyramid is at hand, only segments of cells
+that stay to the end are exploded. The distinct positions then answer the queries.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathweave.functions.bounds_distance import greatest_metres, least_metres
-from pathweave.functions.distance import haversine, to_micro
 from pathweave.functions.pyramid import LEVEL_STEP, LEVELS, base_cell, on_globe
-from pathweave.operators.knn_batch import SLACK_M, globe_cells
+from pathweave.operators.dedup import distinct_positions
+from pathweave.operators.knn_batch import SLACK_M, globe_cells, knn_batch, query_places
 from pathweave.session import shared_folder, stored_table
 
 _WORD = 64
@@ -114,31 +114,18 @@ def knn_batch_segments(segments: DataFrame, queries: DataFrame, k: int, pyramid:
     stored points of segments: ``query_id, rank, traj_id, lat, lon, distance``, the
     rows that ``knn_batch`` gives for the points the segments were cut from.
 
-    Arrays are read of the segments that some query needs, and exploded once, whoever
-    asks for them; equal positions of a cell fold before they meet any query. A stored
-    ``pyramid`` of the same segments saves building one.
+    Arrays are exploded once, whoever asks for them, and equal positions fold before they
+    meet any query. A stored ``pyramid`` of the same segments tells which of them some
+    query needs, and only these are opened. To build one all arrays would have to be
+    read, so without it all segments are opened at once: where bounds of many segments
+    overlap, each query would keep most of their cells.
     """
-    if pyramid is None:
-        pyramid = build_bounds_pyramid(segments, k)
-    cells = cells_in_play(pyramid, queries, max(k, 1))
-    needed = segments_needed(segments, cells)
-    positions = (
-        needed.select("ci", "cj", F.col("entity_id").alias("traj_id"), F.inline(F.arrays_zip("vals_x", "vals_y")))
-        .withColumnsRenamed({"vals_x": "lat", "vals_y": "lon"})
-        .groupBy("ci", "cj", "lat", "lon")
-        .agg(F.min("traj_id").alias("traj_id"))
-    )
-    metres = haversine(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon"))
-    best = Window.partitionBy("query_id").orderBy("_metres", "lat", "lon")
-    near = (
-        positions.join(cells, ["ci", "cj"])
-        .withColumn("_metres", to_micro(metres))
-        .where(F.col("_metres") <= F.col("_bound"))
-        # cells can share positions: a carried-over point is in two segments
-        .groupBy("query_id", "lat", "lon")
-        .agg(F.min("traj_id").alias("traj_id"), F.min("_metres").alias("_metres"), F.min(metres).alias("distance"))
-    )
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "traj_id", "lat", "lon", "distance")
+    if pyramid is not None:
+        segments = segments_needed(segments, cells_in_play(pyramid, query_places(queries), max(k, 1)))
+    held = segments.select(F.col("entity_id").alias("traj_id"), F.inline(F.arrays_zip(F.col("vals_x").alias("lat"), F.col("vals_y").alias("lon"))))
+    # what has no distance is in no answer and must not count
+    positions = distinct_positions(held.toDF("traj_id", "lat", "lon").where(F.abs(F.col("lat") + F.col("lon")) < float("inf")))
+    return knn_batch(stored_table(positions, "segment-positions"), queries, k)
 
 
 def segments_needed(segments: DataFrame, cells: DataFrame, columns: Sequence[str] = ("entity_id", "vals_x", "vals_y")) -> DataFrame:

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathweave.functions.bounds_distance import greatest_metres, least_metres
+from pathweave.operators import knn_batch as module
+from pathweave.operators import knn_batch_segments as segments_module
 from pathweave.operators.extent import point_extent
 from pathweave.operators.knn_batch import knn_batch
 from pathweave.operators.knn_batch_segments import (
@@ -136,3 +138,24 @@ def test_most_segments_stay_closed(spark):
     assert [(r.traj_id, r.lat, r.lon) for r in got] == want
     segments.unpersist()
     cells.unpersist()
+
+
+def test_queries_from_one_place_are_answered_once(spark, monkeypatch):
+    """However many queries ask from a position, it meets the cells as one row; and
+    without a stored pyramid no query looks for cells of segments at all."""
+    asked = []
+    original = module.candidate_cells
+    monkeypatch.setattr(module, "candidate_cells", lambda pyramid, queries, k: asked.append(queries.count()) or original(pyramid, queries, k))
+    monkeypatch.setattr(segments_module, "cells_in_play", None)
+    tracks = {t: [(40.0 + i * 1e-3, 116.0 + int(t) * 1e-4) for i in range(30)] for t in "123"}
+    rows = points(spark, tracks)
+    places = [(40.0105, 116.0), (40.02, 116.1), (-40.0, 10.0)]
+    queries = [(n, *places[n % 3]) for n in range(60)] + [(99, None, 116.0)]
+    asking = spark.createDataFrame(queries, QUERIES)
+    found = knn_batch_segments(fixed_segments(rows, 7), asking, 4)
+    own = [(t, *p) for t, track in tracks.items() for p in track]
+    got = found.orderBy("query_id", "rank").collect()
+    assert asked == [3]
+    for n in range(60):
+        assert [(r.traj_id, r.lat, r.lon) for r in got if r.query_id == n] == [x[:3] for x in nearest(own, places[n % 3], 4)]
+    assert len(got) == 240 and sorted(got) == sorted(knn_batch(rows, asking, 4).collect())

@@ -254,6 +254,41 @@ def grid_members(
     )
 
 
+def short_grid_members(
+    points: DataFrame,
+    grid: Grid,
+    cell_size: float = CELL_SIZE,
+    key: Sequence[str] = ("traj_id",),
+) -> DataFrame:
+    """``grid_members`` of trajectories that each fit a task, ``part`` 0 throughout: rows
+    are shuffled by entity once, which also serves the grouping into segments."""
+    keyed = with_cells(points, grid, cell_size, label=False).select(
+        _entity(key).alias("entity_id"),
+        "seq",
+        "lat",
+        "lon",
+        "timestamp",
+        F.struct("cell_i", "cell_j").alias("cell"),
+    )
+    in_order = Window.partitionBy("entity_id").orderBy("seq")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = keyed.withColumns(
+        {
+            "_starts": F.coalesce(F.lag("cell").over(in_order) != F.col("cell"), F.lit(False)),
+            "_ends": F.coalesce(F.lead("cell").over(in_order) != F.col("cell"), F.lit(False)),
+        }
+    )
+    start = F.coalesce(F.max(F.when(F.col("_starts"), F.col("seq"))).over(so_far), F.min("seq").over(so_far))
+    placed = marked.withColumns({"_segment": F.sum(F.col("_starts").cast("long")).over(so_far), "_pos": F.col("seq") - start})
+
+    def at(segment: Column, pos: Column) -> Column:
+        return F.struct(segment.alias("segment_id"), F.lit(0).cast("long").alias("part"), pos.cast("long").alias("pos"))
+
+    own, carried = at(F.col("_segment"), F.col("_pos")), at(F.col("_segment") + 1, F.lit(-1))
+    homes = F.when(F.col("_ends"), F.array(own, carried)).otherwise(F.array(own))
+    return placed.select("entity_id", F.inline(homes), "lat", "lon", "timestamp")
+
+
 def grid_segments(
     points: DataFrame,
     grid: Grid,
@@ -268,10 +303,10 @@ def grid_segments(
     of the same ``segment_id``, each with the bounds of the whole segment. A first
     job finds out whether any trajectory is long enough for that.
     """
+    if not _longer_than(points, key, part_points):
+        return finish_segments(short_grid_members(points, grid, cell_size, key))
     members = grid_members(points, grid, cell_size, key, part_points)
-    rows = finish_segments(members)
-    several = _longer_than(points, key, part_points)
-    return with_segment_bounds(rows) if several else rows
+    return with_segment_bounds(finish_segments(members))
 
 
 def recompute_bounds(segments: DataFrame) -> DataFrame:

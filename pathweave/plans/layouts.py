@@ -150,7 +150,7 @@ def build_layouts(
         write_points(points, out.points, "overwrite")
     stored = spark.read.parquet(out.points)
     if missing(CSV, out.csv):
-        write_points_csv(stored, out.csv, "overwrite")
+        write_points_csv(stored, out.csv, "overwrite", compression="gzip")
     if missing(FIXED, out.fixed):
         fixed = fixed_segments(stored, max_segment_size, key)
         write_segments(fixed, out.fixed, "overwrite")
@@ -165,11 +165,16 @@ def build_layouts(
     if missing(GRID_INDEX, out.grid_index):
         index = grid_index(read_segments(spark, out.grid), cell_size)
         write_segments(index, out.grid_index, "overwrite", cluster=False)
+    # these keep the clustering of the points' files, too
     if missing(GEO, out.geo):
-        write_geoparquet(stored, out.geo, "overwrite")
+        write_geoparquet(stored, out.geo, "overwrite", cluster=False)
     if missing(GEO_SMALL_GROUPS, out.geo_small_groups):
         write_geoparquet(
-            stored, out.geo_small_groups, "overwrite", row_group_size=GEO_ROW_GROUP
+            stored,
+            out.geo_small_groups,
+            "overwrite",
+            row_group_size=GEO_ROW_GROUP,
+            cluster=False,
         )
     return out
 

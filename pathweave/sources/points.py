@@ -10,6 +10,8 @@ from pathweave.operators.ordering import dense_position
 from pathweave.schemas import POINTS, BBox
 from pathweave.sources.layout import clustered
 
+# rows of a compressed CSV file, some 80 MB before compression
+CSV_FILE_ROWS = 1_000_000
 CSV_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
 
@@ -90,13 +92,19 @@ def read_foreign_points(
     )
 
 
-def write_points_csv(points: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    (
-        points.write.mode(mode)
-        .option("header", True)
-        .option("timestampNTZFormat", CSV_TIME_FORMAT)
-        .csv(path)
-    )
+def write_points_csv(
+    points: DataFrame,
+    path: str,
+    mode: str = "errorifexists",
+    compression: str = "none",
+) -> None:
+    """Points CSV. Compressed files can't be split when they are read, so they end
+    after ``CSV_FILE_ROWS`` rows."""
+    writer = points.write.mode(mode).option("header", True)
+    if compression != "none":
+        writer = writer.option("compression", compression)
+        writer = writer.option("maxRecordsPerFile", CSV_FILE_ROWS)
+    writer.option("timestampNTZFormat", CSV_TIME_FORMAT).csv(path)
 
 
 def read_points_csv(

@@ -8,8 +8,10 @@ from pathweave.operators.extent import point_extent, segment_extent, with_cells
 from pathweave.operators.index import fixed_index, grid_index
 from pathweave.operators.ordering import dense_position, merge_users, renumber
 from pathweave.operators.segmentation import (
+    finish_segments,
     fixed_segments,
     flatten_segments,
+    grid_members,
     grid_segments,
     recompute_bounds,
 )
@@ -19,7 +21,7 @@ from pathweave.operators.trajectories import (
     trajectory_lengths,
 )
 from pathweave.schemas import GridSpec
-from tests.helpers import cut, line, points, segment_lists
+from tests.helpers import cut, line, plan_text, points, segment_lists
 
 
 @pytest.mark.parametrize("n", [1, 99, 100, 101, 200, 201])
@@ -206,3 +208,15 @@ def test_assembly_in_parts_keeps_order(spark):
     parts = assemble(rows, part_points=10).orderBy("part").collect()
     assert [len(p.points) for p in parts] == [10, 10, 5]
     assert [q.seq for p in parts for q in p.points] == list(range(25))
+
+
+def test_short_trajectories_are_shuffled_once(spark):
+    """Cutting and grouping share one shuffle by entity; rows are those of the chunks."""
+    rng = random.Random(11)
+    tracks = {f"t{n}": [(40 + rng.gauss(0, 2e-3), 116 + rng.gauss(0, 2e-3)) for _ in range(60)] for n in range(4)}
+    rows = points(spark, tracks | {"parked": [(40.0, 116.0)] * 30, "one": [(40.1, 116.1)]})
+    grid = GridSpec(39.9, 115.9, 0.001)
+    whole = grid_segments(rows, grid, 0.001)
+    assert plan_text(whole).count("hashpartitioning(") == 1
+    chunked = finish_segments(grid_members(rows, grid, 0.001, part_points=7).withColumn("part", F.lit(0).cast("long")))
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, chunked.select(*whole.columns).collect()))

@@ -19,6 +19,8 @@ from pathweave.operators.segmentation import fixed_segments, grid_segments
 from pathweave.plans.evaluation import bbox_report, bbox_results, knn_results
 from pathweave.plans.layouts import build_layouts, open_layouts
 from pathweave.schemas import POINTS, SEG_GRID, SEGMENTS, BBox
+from pathweave.sources import geoparquet as geoparquet_module
+from pathweave.sources import points as points_module
 from pathweave.sources.geoparquet import read_geoparquet, write_geoparquet
 from pathweave.sources.points import (
     read_foreign_points,
@@ -444,3 +446,20 @@ def test_two_runs_never_share_a_number(spark, tmp_path):
     assert read_runs(spark, root, result).count() == 3
     # a claim is enough, even if nothing was stored under it
     assert claim_run_id(spark, root) == 28
+
+
+def test_layouts_over_stored_points_neither_shuffle_nor_swell(spark, tmp_path, monkeypatch):
+    """CSV is compressed in files of bounded rows, GeoParquet keeps the clustering of the
+    points it is written from."""
+    monkeypatch.setattr(geoparquet_module, "clustered_points", None)
+    monkeypatch.setattr(points_module, "CSV_FILE_ROWS", 100)
+    rows = points(spark, {"a": line(250), "b": line(40, lat=41.0)})
+    names = ("Base Parquet", "CSV", "GeoParquet", "GeoParquet (small groups)")
+    layouts = build_layouts(spark, str(tmp_path / "out"), rows, names=names)
+    at = open_layouts(spark, layouts)
+    columns = ["traj_id", "seq", "lat", "lon", "timestamp"]
+    want = sorted(map(tuple, rows.select(columns).collect()))
+    for name in names:
+        assert sorted(map(tuple, at[name].select(columns).collect())) == want
+    parts = [p.name for p in (tmp_path / "out" / "points_csv").iterdir() if p.name.startswith("part-")]
+    assert len(parts) >= 3 and all(p.endswith(".csv.gz") for p in parts)

@@ -92,10 +92,10 @@ def with_segment_bounds(rows: DataFrame) -> DataFrame:
     )
 
 
-def _longer_than(points: DataFrame, key: Sequence[str], limit: int) -> bool:
-    """Whether any trajectory has more points; reads the key columns alone."""
+def _longest(points: DataFrame, key: Sequence[str]) -> int:
+    """Points of the longest trajectory; reads the key columns alone."""
     counts = points.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    return not counts.where(F.col("_n") > limit).isEmpty()
+    return counts.agg(F.max("_n")).first()[0] or 0
 
 
 def fixed_members(
@@ -259,9 +259,10 @@ def short_grid_members(
     grid: Grid,
     cell_size: float = CELL_SIZE,
     key: Sequence[str] = ("traj_id",),
+    part_points: int = PART_POINTS,
 ) -> DataFrame:
-    """``grid_members`` of trajectories that each fit a task, ``part`` 0 throughout: rows
-    are shuffled by entity once, which also serves the grouping into segments."""
+    """``grid_members`` of trajectories that each fit a task: rows are shuffled by entity
+    once, which also serves the grouping into segments and parts."""
     keyed = with_cells(points, grid, cell_size, label=False).select(
         _entity(key).alias("entity_id"),
         "seq",
@@ -281,10 +282,11 @@ def short_grid_members(
     start = F.coalesce(F.max(F.when(F.col("_starts"), F.col("seq"))).over(so_far), F.min("seq").over(so_far))
     placed = marked.withColumns({"_segment": F.sum(F.col("_starts").cast("long")).over(so_far), "_pos": F.col("seq") - start})
 
-    def at(segment: Column, pos: Column) -> Column:
-        return F.struct(segment.alias("segment_id"), F.lit(0).cast("long").alias("part"), pos.cast("long").alias("pos"))
+    def at(segment: Column, part: Column, pos: Column) -> Column:
+        return F.struct(segment.alias("segment_id"), part.cast("long").alias("part"), pos.cast("long").alias("pos"))
 
-    own, carried = at(F.col("_segment"), F.col("_pos")), at(F.col("_segment") + 1, F.lit(-1))
+    own = at(F.col("_segment"), F.expr(f"_pos div {int(part_points)}"), F.col("_pos"))
+    carried = at(F.col("_segment") + 1, F.lit(0), F.lit(-1))
     homes = F.when(F.col("_ends"), F.array(own, carried)).otherwise(F.array(own))
     return placed.select("entity_id", F.inline(homes), "lat", "lon", "timestamp")
 
@@ -301,10 +303,16 @@ def grid_segments(
     A segment is one row unless it holds more than ``part_points`` points (an
     entity that does not move): then it continues in rows ``part`` = 1, 2, ...
     of the same ``segment_id``, each with the bounds of the whole segment. A first
-    job finds out whether any trajectory is long enough for that.
+    job finds out whether any trajectory is long enough for that, or too long for a task.
     """
-    if not _longer_than(points, key, part_points):
-        return finish_segments(short_grid_members(points, grid, cell_size, key))
+    longest = _longest(points, key)
+    if longest <= max(part_points, PART_POINTS):
+        rows = finish_segments(short_grid_members(points, grid, cell_size, key, part_points))
+        if longest <= part_points:
+            return rows
+        # the rows of an entity are in one task already
+        whole = Window.partitionBy("entity_id", "segment_id")
+        return rows.withColumns({c: getattr(F, c[:3])(c).over(whole) for c in _BOUNDS})
     members = grid_members(points, grid, cell_size, key, part_points)
     return with_segment_bounds(finish_segments(members))
 

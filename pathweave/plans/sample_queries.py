@@ -909,8 +909,9 @@ def segment_mbr_overlap_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def segment_any_point_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = stored_table(view_parts(spark, sf_dir), "segment-parts")
-    return whole_segments(bbox.segments_touching(parts, BOX))
+    # every part has the bounds of its segment, so the rest can go before it is stored
+    near = bbox.segments_overlapping(view_parts(spark, sf_dir), BOX)
+    return whole_segments(bbox.segments_touching(stored_table(near, "segment-parts"), BOX))
 
 
 @query("segment_scan_refine", with_(GRID_ALL, refined_sql(BOX)))

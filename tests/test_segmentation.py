@@ -14,6 +14,7 @@ from pathweave.operators.segmentation import (
     grid_members,
     grid_segments,
     recompute_bounds,
+    with_segment_bounds,
 )
 from pathweave.operators.trajectories import (
     assemble,
@@ -220,3 +221,16 @@ def test_short_trajectories_are_shuffled_once(spark):
     assert plan_text(whole).count("hashpartitioning(") == 1
     chunked = finish_segments(grid_members(rows, grid, 0.001, part_points=7).withColumn("part", F.lit(0).cast("long")))
     assert sorted(map(repr, whole.collect())) == sorted(map(repr, chunked.select(*whole.columns).collect()))
+
+
+def test_parts_of_short_trajectories_need_no_further_shuffle(spark):
+    """Parts smaller than a task's share: rows and bounds are those of the chunks."""
+    rng = random.Random(12)
+    tracks = {f"t{n}": [(40 + rng.gauss(0, 4e-4), 116 + rng.gauss(0, 4e-4)) for _ in range(70)] for n in range(3)}
+    rows = points(spark, tracks | {"parked": [(40.0, 116.0)] * 30, "one": [(40.1, 116.1)]})
+    grid = GridSpec(39.9, 115.9, 0.001)
+    parts = grid_segments(rows, grid, 0.001, part_points=4)
+    assert plan_text(parts).count("hashpartitioning(") == 1
+    chunked = with_segment_bounds(finish_segments(grid_members(rows, grid, 0.001, part_points=4)))
+    assert parts.where("part > 1").count() > 0
+    assert sorted(map(repr, parts.collect())) == sorted(map(repr, chunked.select(*parts.columns).collect()))

@@ -13,6 +13,8 @@ import json
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pathweave.llm.common import worker_state
 
@@ -23,6 +25,14 @@ _ODD_SEPARATORS = "\x1c\x1d\x1e\x1f"
 CACHE_CHUNKS = 400_000
 LONG_CHUNK = 64
 GROUP = 256
+#: Words of the table of ``ColumnEncoder``, and those given to the library in one call.
+TABLE_WORDS = 400_000
+CALL_WORDS = 50_000
+
+# white space that does not part two words alone: all but single blanks and line ends
+_ODD_SPACE = r"\A[ \n]|[ \n]\z|[ \n][ \n]|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# punctuation (but an apostrophe) right after a letter, where byte-level BPE cuts in any case
+_WORD_END = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([,.;:!?#$%&*]+)"
 
 
 class _Cache(dict):
@@ -168,6 +178,98 @@ class ChunkEncoder:
         return 0 if self.counts else b""
 
 
+class ColumnEncoder:
+    """``encode(column)``: what ``ChunkEncoder`` gives, for an Arrow column of texts.
+
+    With a byte-level BPE all words of a column are looked up at once in a table of
+    words and their ids, kept as two Arrow arrays; only words it lacks are given to the
+    library, so nothing in Python runs once a word. A word that stands without a blank
+    before it (at the beginning, after a line end, punctuation after a letter) has
+    ``\\r`` in front. Texts that can't be cut so are encoded whole, other tokenizers are
+    left to ``ChunkEncoder``.
+
+    Memory is bounded by the column and ``table_words`` words of at most ``LONG_CHUNK``
+    characters; of a full table the half used most often stays.
+    """
+
+    def __init__(self, file: str, table_words: int = TABLE_WORDS):
+        self.plain = ChunkEncoder(file)
+        self.width, self.table_words = self.plain.width, table_words
+        self.line_end = self.plain.library.token_to_id("Ċ")
+        self.words, self.values = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.uses = np.zeros(0, dtype=np.int64)
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        if self.plain.mode != "bytes":
+            return self.plain.encode(column.to_pylist())
+        texts = column.cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, _ODD_SPACE)
+        for special in self.plain.special:
+            odd = pc.or_(odd, pc.match_substring(texts, special))
+        odd = odd.to_numpy(zero_copy_only=False)
+        cut = ~odd & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
+        out = [b""] * len(texts)
+        for rows, encode in ((cut, self._cut), (odd, lambda some: self.plain._whole(some.to_pylist()))):
+            places = np.flatnonzero(rows)
+            if len(places):
+                for n, value in zip(places.tolist(), encode(texts.filter(pa.array(rows)))):
+                    out[n] = value
+        return out
+
+    def _cut(self, texts: pa.Array) -> list[bytes]:
+        texts = pc.replace_substring(texts, "\n", " \r\n \r")
+        texts = pc.replace_substring_regex(texts, _WORD_END, "\\1 \r\\2")
+        lists = pc.split_pattern(pc.binary_join_element_wise(_large("\r"), texts, _large("")), " ")
+        known = len(self.words)
+        # words of the table come first and are distinct, so they keep their places
+        coded = pa.chunked_array([self.words, lists.flatten()]).dictionary_encode().chunks[-1]
+        words, codes = coded.dictionary, coded.indices
+        values = pa.concat_arrays([self.values, *self._learn(words[known:])])
+        joined = values.take(codes)
+        ends = np.frombuffer(joined.buffers()[1], dtype=np.int64)[lists.offsets.to_numpy()].tolist()
+        ids = memoryview(joined.buffers()[2] or b"")
+        self._keep(words, values, known, codes.to_numpy())
+        return [bytes(ids[a:b]) for a, b in zip(ends, ends[1:])]
+
+    def _keep(self, words: pa.Array, values: pa.Array, known: int, codes: np.ndarray) -> None:
+        uses = np.bincount(codes, minlength=len(words))
+        uses[:known] += self.uses
+        kept = np.ones(len(words), dtype=bool)
+        kept[known:] = pc.utf8_length(words[known:]).to_numpy() <= LONG_CHUNK
+        if kept.sum() > self.table_words:
+            order = np.argsort(np.where(kept, -uses, 1), kind="stable")
+            kept[order[self.table_words // 2 :]] = False
+            uses //= 2
+        if not kept.all():
+            chosen = pa.array(np.flatnonzero(kept))
+            words, values, uses = words.take(chosen), values.take(chosen), uses[kept]
+        self.words, self.values, self.uses = words, values, uses
+
+    def _learn(self, words: pa.Array) -> list[pa.Array]:
+        return [self._values(words[n : n + CALL_WORDS]) for n in range(0, len(words), CALL_WORDS)]
+
+    def _values(self, words: pa.Array) -> pa.Array:
+        """The ids of some words, encoded as one text: blanks and line ends part them again."""
+        at = pc.index(words, _large("\r\n")).as_py()
+        if at >= 0:
+            alone = pa.array(self.plain._whole(["\n"]), pa.large_binary())
+            return pa.concat_arrays([self._values(words[:at]), alone, self._values(words[at + 1 :])])
+        text = " ".join(["", *words.to_pylist()]).replace(" \r", "\n")
+        ids = np.asarray(self.plain.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
+        line = ids == (-1 if self.line_end is None else self.line_end)
+        starts = np.flatnonzero(self.plain.edge[ids] | line)
+        if len(starts) != len(words):
+            texts = [w[1:] if w[0] == "\r" else " " + w for w in words.to_pylist()]
+            return pa.array(self.plain._whole(texts), pa.large_binary())
+        sizes = np.diff([*starts, len(ids)]) - line[starts] if len(starts) else []
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64) * self.width
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(ids[~line])])
+
+
+def _large(text: str) -> pa.Scalar:
+    return pa.scalar(text, pa.large_string())
+
+
 def _mode(spec: dict) -> tuple[str | None, list[str]]:
     """'bytes', 'words' or None (encode whole texts), and the special strings."""
     special = [x["content"] for x in spec.get("added_tokens") or []]
@@ -187,3 +289,8 @@ def _mode(spec: dict) -> tuple[str | None, list[str]]:
 def worker_encoder(file: str, counts: bool = False, cache_chunks: int = CACHE_CHUNKS) -> ChunkEncoder:
     """The encoder of this Python worker, kept over tasks."""
     return worker_state((f"encoder-{counts}", file, cache_chunks), lambda: ChunkEncoder(file, counts, cache_chunks=cache_chunks))
+
+
+def worker_column_encoder(file: str) -> ColumnEncoder:
+    """The column encoder of this Python worker, kept over tasks."""
+    return worker_state(("column-encoder", file), lambda: ColumnEncoder(file))

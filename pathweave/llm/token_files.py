@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathweave.llm.chunk_encoder import worker_encoder
-from pathweave.llm.common import batch_of, slices, texts_of
+from pathweave.llm.chunk_encoder import worker_column_encoder
+from pathweave.llm.common import batch_of, slices, texts_of, tidied
 from pathweave.session import stored_table
 
 MAGIC = "PWTOKENS"
@@ -66,7 +66,7 @@ def write_tokens(
     splitters = sorted({int(x) for x in splitters})
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(tokenizer)
+        encoder = worker_column_encoder(tokenizer)
         end = np.array([end_id], dtype=f"<u{encoder.width}").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("width", pa.int32()), ("ids", pa.binary())])
         edges = np.asarray(splitters, dtype=np.int64)
@@ -78,12 +78,12 @@ def write_tokens(
                 doc_id=ids,
                 part=np.searchsorted(edges, keys, side="right").astype(np.int32),
                 width=np.full(len(keys), encoder.width, dtype=np.int32),
-                ids=[x + end for x in encoder.encode(batch.column("text").to_pylist())],
+                ids=[x + end for x in encoder.encode(batch.column("text"))],
             )
 
-    encoded = chosen.mapInArrow(encode, "doc_id long, part int, width int, ids binary")
+    encoded = chosen.mapInArrow(tidied(encode), "doc_id long, part int, width int, ids binary")
     placed = encoded.repartitionById(len(splitters) + 1, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
-    shards = placed.mapInArrow(_shard_writer(shard_bytes), "value binary")
+    shards = placed.mapInArrow(tidied(_shard_writer(shard_bytes)), "value binary")
     (
         shards.select(F.col("value").cast("string"))
         .write.option("lineSep", MAGIC)
@@ -187,7 +187,7 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
                     ids_crc32=crc,
                 )
 
-    return _files(spark, folder).mapInArrow(read, _ENTRY_DDL)
+    return _files(spark, folder).mapInArrow(tidied(read), _ENTRY_DDL)
 
 
 def key_hash(keys: np.ndarray, tags: np.ndarray | int) -> np.ndarray:

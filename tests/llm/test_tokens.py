@@ -1,11 +1,15 @@
 """Token files, token counts and packing against the tokenizers themselves."""
 
+import random
+import tracemalloc
+
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from pathweave.llm import packing, token_counts, token_files
-from pathweave.llm.chunk_encoder import ChunkEncoder
+from pathweave.llm.chunk_encoder import ChunkEncoder, ColumnEncoder, worker_column_encoder
 from pathweave.session import shared_folder
 from tests.llm.helpers import awkward, crc, frame, ordered, rows_of, words
 
@@ -26,6 +30,38 @@ def test_chunks_give_the_librarys_ids(path, monkeypatch):
         assert ChunkEncoder(path, counts=True).encode(texts) == [len(ids_of(path, t)) for t in texts]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_columns_give_the_librarys_ids(path, monkeypatch):
+    monkeypatch.setattr("pathweave.llm.chunk_encoder.CALL_WORDS", 30)
+    draw = random.Random(4)
+    parts = [*"ab'.,!#é\u0141λ語٣7\r\t\u00a0\x1c\u200b\u0120\u0301\U0001f600", " ", " ", "\n", "'s", "'LL", "don't", "can,", "<|endoftext|>", "word", "x" * 90]
+    texts = [t or "" for _, t in awkward()] + ["".join(draw.choices(parts, k=draw.randrange(12))) for _ in range(3000)]
+    texts += [" ".join(draw.choices(["It's,", "a.b", "end.\nNext", "it'd!", "l'eau;", "\u0141,", "٣.", "é?'s"], k=9)) for _ in range(300)]
+    encoder = ColumnEncoder(path, table_words=40)
+    library = Tokenizer.from_file(path)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for size in (len(texts), 100):
+        got = []
+        for start in range(0, len(texts), size):
+            got += encoder.encode(pa.array(texts, pa.string())[start : start + size])
+            assert len(encoder.words) <= 40
+        assert [memoryview(x).cast("H").tolist() for x in got] == want
+    assert encoder.encode(pa.array([], pa.string())) == []
+
+
+def test_no_object_is_made_for_each_word():
+    text = " ".join(words(100, 3) * 3000)
+    column = pa.array([text])
+    encoder = worker_column_encoder(BYTES)
+    first = encoder.encode(column)
+    tracemalloc.start()
+    again = encoder.encode(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert again == first == ChunkEncoder(BYTES).encode([text])
+    assert peak < 5 * len(first[0])  # Python strings of the words: 36 times
+
+
 def test_files_round_trip(spark):
     rows = awkward()
     docs = frame(spark, rows)

@@ -59,6 +59,37 @@ def test_suffixes_of_nothing(spark):
     assert rows_of(only, "doc_id", "n_bytes", "n_removed") == [(1, 0, 0), (2, 0, 0)]
 
 
+def test_places_of_many_rows_are_read_at_once():
+    """Ranges of a whole column of lists, some of them null, empty or long, and of a slice."""
+    rng = random.Random(8)
+    sizes = [0, 60, 5000, 300, 90, 700]
+    full = [(2, p) for p in range(0, 4900, 97)] + [(5, p) for p in (0, 40, 650)]
+    pairs = [(2, 4990, 5000), (3, 0, 50), (3, 50, 100), (3, 200, 250), (4, 0, 90)]
+    found = {r: [] for r in range(6)}
+    for r, p in full:
+        found[r].append({"kind": suffix_dedup.FULL, "places": np.array([p], "<u4").tobytes()})
+    for r, a, b in pairs:
+        found[r].append({"kind": suffix_dedup.RANGES, "places": np.array([a, b], "<u4").tobytes()})
+    for one in found.values():
+        rng.shuffle(one)
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("places", pa.binary())]))
+    column = pa.array([None if r == 1 else found[r] for r in range(6)], kind)
+    gone = [bytearray(n) for n in sizes]
+    for r, p in full:
+        a, b = max(p - suffix_dedup.REACH, 0), min(p + suffix_dedup.SPAN, sizes[r])
+        gone[r][a:b] = b"\1" * (b - a)
+    for r, a, b in pairs:
+        gone[r][a:b] = b"\1" * (b - a)
+    for first in (0, 3):
+        got = [bytearray(n) for n in sizes]
+        row, begin, end = suffix_dedup.removed_ranges(np.array(sizes[first:]), *suffix_dedup._pieces(column[first:]))
+        for r, a, b in zip(row.tolist(), begin.tolist(), end.tolist()):
+            assert not any(got[first + r][max(a - 1, 0) : b])
+            got[first + r][a:b] = b"\1" * (b - a)
+        assert got[first:] == gone[first:]
+
+
+
 def linked(rows, size, threshold):
     sets = []
     for _, t in rows:

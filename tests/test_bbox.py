@@ -144,6 +144,17 @@ def test_batch_boxes_of_every_size(spark, salts):
     assert got.count() == len(expected)
 
 
+def test_batch_boxes_carry_the_columns_asked_for(spark):
+    """The first of repeated positions by an order of several columns, of all columns or some."""
+    rows = points(spark, {"t": [(40.0, 116.0)] * 3 + [(40.1, 116.0)]}).withColumn("altitude", F.col("seq").cast("double"))
+    boxes = spark.createDataFrame([(1, 39.0, 41.0, 115.0, 117.0)], BOXES)
+    found = bbox_batch(rows, boxes, order=("timestamp", "seq"), columns=["traj_id", "lat", "altitude"])
+    assert found.columns == ["box_id", "traj_id", "lat", "altitude"]
+    assert sorted(map(tuple, found.collect())) == [(1, "t", 40.0, 0.0), (1, "t", 40.1, 3.0)]
+    whole = bbox_batch(rows, boxes, order=("timestamp", "seq"))
+    assert whole.columns == ["box_id", *rows.columns] and whole.count() == 2
+
+
 def test_no_boxes_no_rows(spark):
     rows = points(spark, {"t": INSIDE})
     assert match_boxes(rows, spark.createDataFrame([], BOXES)).count() == 0
